@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, simhash
+from . import bpe, exact_dedup, html_text, langid, mixing, quality, simhash, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
+    "op3_importance_resampling": quality.op3_importance_resampling,
+    "op4_html_text": html_text.op4_html_text,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_language_id": langid.op7_language_id,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 
 ORACLE_SQL = {
