@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, langid, media, mixing, quality, simhash, url_filter
+from . import bpe, exact_dedup, html_text, langid, media, mixing, quality, repeats, simhash, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_media_jpeg": media.op8_media_jpeg,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLE_SQL = {
