@@ -9,7 +9,6 @@ possible for an n-gram that the profile lacks (Cavnar and Trenkle).
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, without_ids
 
 #: n-grams have 1 to GRAMS characters; three code points of 21 bits fill a long.
 GRAMS = 3
@@ -183,10 +182,5 @@ def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     said = identify(docs).select("doc_id", (F.col("lang_pred") == UNKNOWN).alias("gone"))
     gone = said.groupBy("doc_id").agg(F.min("gone").alias("gone")).filter("gone").select("doc_id")
-    from .common import without_ids
-
     return without_ids(docs, gone, "doc_id")
 
-
-def crc(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
