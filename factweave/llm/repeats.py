@@ -15,7 +15,7 @@ windows are found by comparing contexts of one anchor, aligned at the anchor:
    with a neighbour. As a round only needs the one before, a round is one
    sequential pass over a column, and the rounds are as many as a context is
    long, whatever the length of the documents.
-3. Anchors with very many contexts are split: their windows are dealt by halves
+3. Anchors with very many contexts are split: their windows are dealt by ranges
    of their places, with more common bytes in the key, and go to 1 again.
 """
 
@@ -41,6 +41,8 @@ REACH = WIDTH - GRAM
 SLICE = 1 << 20
 #: Contexts of one anchor that go to one task; more are split.
 MOST_CONTEXTS = 1024
+#: Ranges of places that such a split makes.
+PARTS = 8
 #: Contexts that one construction orders together.
 CHUNK = 8192
 ABSENT = 0xFF  # no byte of UTF-8
@@ -228,15 +230,16 @@ def repeated_places(contexts: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame
 
     Gives anchor, context and inclusive ranges of windows (places from the
     anchor) that other contexts of the anchor have too. Keys with up to
-    ``most`` contexts are ordered by a task; those with more are split in two
-    halves of their places, down to single windows, which counting settles.
+    ``most`` contexts are ordered by a task; those with more are split by their
+    places, down to single windows, which counting settles.
     """
     found = None
     level = contexts.select(
         F.col("anchor").alias("key"), "anchor", "context", "first", "last", "bytes", F.lit(-REACH).alias("low"), F.lit(0).alias("high")
     )
     while True:
-        sizes = materialize(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "anchor-sizes")
+        # Written, so that the joins with it read both sides from shuffles, which Spark can split where a key is large.
+        sizes = materialize(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "context-counts")
         few = level.join(sizes.filter(F.col("n") <= most), "key", "left_semi")
         ordered = few.select("key", "anchor", "context", "first", "bytes").repartition("key").sortWithinPartitions("key")
         part = ordered.mapInArrow(_order_batches, FOUND)
@@ -244,39 +247,34 @@ def repeated_places(contexts: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame
         many = sizes.filter(F.col("n") > most)
         if many.isEmpty():
             return found
-        halves = split_places(level.join(many, "key", "left_semi"))
-        text = F.sha2("bytes", 256)
-        halves = materialize(halves.withColumn("text", text), "context-halves")
-        # Equal halves: all their windows repeat, and one of them goes on.
-        groups = halves.groupBy("key", "first", "last", "text").agg(
-            F.count("*").alias("copies"), F.min(F.struct("anchor", "context")).alias("one")
-        )
+        split = split_places(level.join(many, "key", "left_semi")).withColumn("text", F.sha2("bytes", 256))
+        split = materialize(split, "context-parts")
+        # Equal parts: all their windows repeat, and one of them goes on.
+        same = ["key", "first", "last", "text"]
+        groups = split.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "context")).alias("one"))
         groups = materialize(groups, "context-copies")
-        twice = halves.join(groups.filter("copies > 1").select("key", "first", "last", "text"), ["key", "first", "last", "text"], "left_semi")
+        twice = split.join(groups.filter("copies > 1").select(*same), same, "left_semi")
         found = found.unionByName(twice.select("anchor", "context", F.col("first").alias("from"), F.col("last").alias("to")))
-        ones = groups.select("key", "first", "last", "text", "one.anchor", "one.context")
-        level = halves.join(ones, ["key", "first", "last", "text", "anchor", "context"], "left_semi").filter("low < high").drop("text")
-        level = materialize(level, "context-level")
+        ones = groups.select(*same, "one.anchor", "one.context")
+        level = split.filter("low < high").join(ones, [*same, "anchor", "context"], "left_semi").drop("text")
 
 
 def split_places(level: DataFrame) -> DataFrame:
-    """Each context's windows in two halves of the places low to high; the key takes in the bytes that all windows of a half have."""
-    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-    sides = F.array(
-        F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high"))
-    )
-    side = level.withColumn("side", F.explode(sides)).withColumn("begin", F.greatest("first", "side.low")).withColumn("end", F.least("last", "side.high"))
-    side = side.filter("begin <= end")
-    core = F.substring("bytes", F.col("side.high") - F.col("first") + 1, F.col("side.low") + WIDTH - F.col("side.high"))
-    return side.select(
-        F.xxhash64("key", "side.low", core).alias("key"),
+    """Each context's windows in PARTS ranges of the places low to high; the key takes in the bytes that all windows of a range have."""
+    step = F.ceil((F.col("high") - F.col("low") + 1) / PARTS).cast("int")
+    part = level.withColumn("step", step).withColumn("side_low", F.explode(F.sequence("low", "high", "step")))
+    part = part.withColumn("side_high", F.least(F.col("side_low") + F.col("step") - 1, "high"))
+    part = part.withColumn("begin", F.greatest("first", "side_low")).withColumn("end", F.least("last", "side_high")).filter("begin <= end")
+    core = F.substring("bytes", F.col("side_high") - F.col("first") + 1, F.col("side_low") + WIDTH - F.col("side_high"))
+    return part.select(
+        F.xxhash64("key", "side_low", core).alias("key"),
         "anchor",
         "context",
         F.col("begin").alias("first"),
         F.col("end").alias("last"),
         F.substring("bytes", F.col("begin") - F.col("first") + 1, F.col("end") + WIDTH - F.col("begin")).alias("bytes"),
-        F.col("side.low").alias("low"),
-        F.col("side.high").alias("high"),
+        F.col("side_low").alias("low"),
+        F.col("side_high").alias("high"),
     )
 
 
@@ -343,7 +341,7 @@ def remove_repeats(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "place", "first", "last")).alias("one")
     )
     groups = materialize(groups, "contexts")
-    several = groups.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    several = materialize(groups.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "several-contexts")
     wanted = groups.join(several, "anchor", "left_semi").select(
         F.col("one.doc_id").alias("_id"), F.col("one.rid").alias("_rid"), F.struct("anchor", "context", "one.place", "one.first", "one.last").alias("run")
     )
@@ -356,12 +354,11 @@ def remove_repeats(
     places = repeated_places(contexts, most)
 
     full = groups.filter("copies > 1").select("anchor", "context", F.col("one.first").alias("from"), F.col("one.last").alias("to"))
-    places = materialize(full.unionByName(places), "repeated-places")
-    places = places.groupBy("anchor", "context").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    places = full.unionByName(places).groupBy("anchor", "context").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    places = materialize(places, "repeated-places")
     spans = anchors.join(places, ["anchor", "context"]).select("doc_id", "rid", "place", F.explode("ranges").alias("r"))
     spans = spans.select("doc_id", "rid", F.struct((F.col("place") + F.col("r.from")).alias("a"), (F.col("place") + F.col("r.to") + WIDTH).alias("b")).alias("s"))
     by_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).agg(F.collect_list("s").alias("spans"))
-    by_doc = materialize(by_doc, "repeated-spans")
     joined = rows.join(by_doc, own, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_removal(digests), DIGESTS if digests else CLEANED)
 
