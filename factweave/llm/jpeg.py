@@ -9,6 +9,7 @@ per step. Images without restart markers decode too, with one lane each.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -71,20 +72,25 @@ class Image:
 
     def scan_order(self, which: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
         """The blocks of a scan in their order: row in the coefficient array, component's place in the scan, blocks of an MCU."""
-        if len(which) == 1:
-            c = self.components[which[0]]
-            rows = c.first + np.arange(c.down)[:, None] * c.wide + np.arange(c.across)
-            return rows.ravel(), np.zeros(rows.size, np.int64), 1
-        parts, places = [], []
-        y, x = np.divmod(np.arange(self.mcus), self.mcus_x)
-        for place, i in enumerate(which):
-            c = self.components[i]
-            for v in range(c.v):
-                for h in range(c.h):
-                    parts.append(c.first + (y * c.v + v) * c.wide + x * c.h + h)
-                    places.append(place)
-        rows = np.stack(parts, axis=1)
-        return rows.ravel(), np.tile(places, self.mcus), rows.shape[1]
+        return block_order(self.mcus, self.mcus_x, tuple((c.h, c.v, c.across, c.down, c.wide, c.first) for c in (self.components[i] for i in which)))
+
+
+@lru_cache(maxsize=512)
+def block_order(mcus: int, mcus_x: int, components: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """components: (h, v, across, down, wide, first) of those in a scan. The arrays are shared and not written to."""
+    if len(components) == 1:
+        _, _, across, down, wide, first = components[0]
+        rows = first + np.arange(down)[:, None] * wide + np.arange(across)
+        return rows.ravel(), np.zeros(rows.size, np.int64), 1
+    parts, places = [], []
+    y, x = np.divmod(np.arange(mcus), mcus_x)
+    for place, (across_mcu, down_mcu, _, _, wide, first) in enumerate(components):
+        for v in range(down_mcu):
+            for h in range(across_mcu):
+                parts.append(first + (y * down_mcu + v) * wide + x * across_mcu + h)
+                places.append(place)
+    rows = np.stack(parts, axis=1)
+    return rows.ravel(), np.tile(places, mcus), rows.shape[1]
 
 
 # ---------------------------------------------------------------- Huffman tables
@@ -246,7 +252,6 @@ def ac_refine(block: np.ndarray, low: int, codes, lengths) -> tuple[np.ndarray,
     n, width = block.shape
     # Zeros that stay zero, counted since the last new coefficient, are the run of the next one.
     still = ~known & ~new
-    zeros = np.cumsum(still, axis=1)
     code_rows: list[np.ndarray] = []
     out_c, out_l, each = [], [], np.zeros(n, np.int64)
     plain = ~new.any(axis=1)
@@ -274,7 +279,6 @@ def ac_refine(block: np.ndarray, low: int, codes, lengths) -> tuple[np.ndarray,
             c += [int(codes[EOB]), *pending]
             ln += [int(lengths[EOB]), *[1] * len(pending)]
         code_rows.append((r, np.array(c, np.int64), np.array(ln, np.int64)))
-    del zeros
     # Blocks without new coefficients: the end of the block, then all corrections, up to 31 in one code.
     grid_c = np.zeros((n, 1 + -(-width // 31)), np.int64)
     grid_l = np.zeros_like(grid_c)
