@@ -43,7 +43,6 @@ WORDS = set(
     "sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 MAIN_ROLES = {"main", "article"}
-SPACE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[a-z]+")
 
 
@@ -144,7 +143,7 @@ def own_text(node: Node) -> str:
                 add(c)
 
     add(node)
-    return SPACE.sub(" ", "".join(parts)).strip()
+    return " ".join("".join(parts).split())
 
 
 def branches(root: Node) -> Iterator[Node]:
@@ -255,7 +254,7 @@ def text_blocks(node: Node, dropped) -> list[str]:
     run: list[str] = []
 
     def flush() -> None:
-        text = SPACE.sub(" ", "".join(run)).strip()
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             out.append(text)
