@@ -62,17 +62,23 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def one_row_per_id(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs itself where ids are unique; else, of the rows that repeat an id (null is one), the smallest in column order.
+#: The column by which a stage tells rows apart.
+ROW = "_row"
 
-    Only ids are read to find out. The smallest row is an aggregate with a map
-    side, so an id that a third of all rows repeat does not meet in one task.
+
+def with_row_key(docs: DataFrame, id_col: str, nulls_first: bool = True) -> DataFrame:
+    """docs with _row, which no two rows share and which is ordered as the ids: the id itself where ids are unique.
+
+    Else it is the id with the row's number, which is written once with the
+    table, so that all that is decided by it means one row. Only ids are read
+    to find out. A null id comes before all others, or after them.
     """
     repeated = docs.groupBy(id_col).count().filter("count > 1")
     if repeated.isEmpty():
-        return docs
-    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-    return docs.groupBy(F.col(id_col).alias("_id")).agg(row).select("row.*")
+        return docs.withColumn(ROW, F.col(id_col))
+    own = F.col(id_col)
+    key = F.struct((own.isNotNull() if nulls_first else own.isNull()).alias("rank"), own.alias("id"), F.monotonically_increasing_id().alias("n"))
+    return materialize(docs.withColumn(ROW, key), "rows")
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:

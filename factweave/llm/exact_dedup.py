@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, one_row_per_id, table, without_ids
+from .common import ROW, ascii_lower, materialize, table, with_row_key, without_ids
 
 
 def sha256(text: Column) -> Column:
@@ -82,11 +82,11 @@ def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
 def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts: that with the largest id.
 
-    Of rows that repeat an id, the first one in the order of their columns counts.
+    Rows that repeat an id, null among them, count one by one: only equal texts go.
     """
-    docs = one_row_per_id(docs, "doc_id")
-    dropped = exact_dedup(docs).filter("not kept").select("doc_id")
-    return without_ids(docs, dropped, "doc_id")
+    rows = with_row_key(docs, "doc_id")
+    dropped = exact_dedup(rows, id_col=ROW).filter("not kept").select("doc_id")
+    return without_ids(rows, dropped, ROW).drop(ROW)
 
 
 ORACLE_SQL = """

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, table, without_ids
+from .common import ROW, small_batches, table, with_row_key, without_ids
 
 #: n-grams have 1 to GRAMS characters; three code points of 21 bits fill a long.
 GRAMS = 3
@@ -137,9 +138,12 @@ def identify(
     lang_col: str = "lang",
     top: int = 400,
     sample: int = 2000,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
+    key_col: the column to give as doc_id, if not the id.
+
     Profiles come from the labelled documents that are not held out (crc32 of
     the id, in fifths), from about ``sample`` of each language. score is 1 minus
     the share of the largest possible distance; of equal distances the first
@@ -165,8 +169,9 @@ def identify(
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    key = F.col(key_col) if key_col else F.col(id_col).cast("long")
+    rows = docs.select(key.alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(predict, StructType([rows.schema["doc_id"]]).add("held_out", "boolean").add("lang_pred", "string").add("score", "double"))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
@@ -177,10 +182,9 @@ def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found: null texts and texts without letters.
 
     The others stay as they are, with the language that they came with. Rows
-    that repeat an id have one answer if their texts are equal; if not, one
-    rejected row takes all rows of its id along only if all are rejected.
+    that repeat an id, null among them, are judged one by one.
     """
-    said = identify(docs).select("doc_id", (F.col("lang_pred") == UNKNOWN).alias("gone"))
-    gone = said.groupBy("doc_id").agg(F.min("gone").alias("gone")).filter("gone").select("doc_id")
-    return without_ids(docs, gone, "doc_id")
+    rows = with_row_key(docs, "doc_id")
+    gone = identify(rows, key_col=ROW).filter(F.col("lang_pred") == UNKNOWN).select("doc_id")
+    return without_ids(rows, gone, ROW).drop(ROW)
 

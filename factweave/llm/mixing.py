@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, one_row_per_id, table
+from .common import ROW, materialize, table, with_row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -163,14 +163,15 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: 0, 1 or 2.
 
-    Documents without words are in no mix. Rows that repeat an id: the first in
-    the order of their columns counts.
+    Documents without words are in no mix. Rows that repeat an id, null among
+    them, count one by one, each with the quality of its id.
     """
-    docs = one_row_per_id(docs, "doc_id")
+    rows = with_row_key(docs, "doc_id")
     quality = label_quality(table(spark, sf_dir, "labels"))
-    mix = mix_sources(docs, quality=quality).filter("taken > 0")
+    rated = rows.select("doc_id", ROW).join(quality, "doc_id").select(F.col(ROW).alias("doc_id"), "quality_weight")
+    mix = mix_sources(rows, id_col=ROW, quality=rated).filter("taken > 0")
     times = mix.select(F.col("doc_id").alias("_id"), F.expr("int(taken / size)").alias("_times"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    joined = rows.join(times, rows[ROW].eqNullSafe(times["_id"]))
     return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialize, one_row_per_id, small_batches, table, without_ids
+from .common import ROW, materialize, small_batches, table, with_row_key, without_ids
 from .components import connected_components
 
 BITS = 64
@@ -57,14 +58,16 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         prints = [fingerprint(t.as_py()) for t in batch.column(1)]
         signed = pa.array(np.array(prints, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), signed], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
+    """doc_id, a long or a struct that is ordered, and fp, the fingerprint as a signed long, of each row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(fingerprint_batches, "doc_id long, fp long")
+    kind = docs.schema[id_col].dataType
+    own = F.col(id_col) if isinstance(kind, StructType) else F.col(id_col).cast("long")
+    rows = docs.select(own.alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(fingerprint_batches, StructType([rows.schema["doc_id"]]).add("fp", "long"))
 
 
 def covering_masks(free: int, radius: int) -> list[int]:
@@ -152,9 +155,9 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that with the smallest id.
 
-    Documents without words are one group. Rows that repeat an id: the first in
-    the order of their columns counts.
+    Documents without words are one group. Rows that repeat an id, null among
+    them, count one by one; a null id loses against any other.
     """
-    docs = one_row_per_id(docs, "doc_id")
-    dropped = near_groups(docs).filter("not doc_id <=> component_id").select("doc_id")
-    return without_ids(docs, dropped, "doc_id")
+    rows = with_row_key(docs, "doc_id", nulls_first=False)
+    dropped = near_groups(rows, id_col=ROW).filter("not doc_id <=> component_id").select("doc_id")
+    return without_ids(rows, dropped, ROW).drop(ROW)

@@ -68,3 +68,24 @@ def test_stages_on_awkward_and_no_rows(spark):
             ids[r.doc_id] += 1
         assert all(n <= 2 for n in ids.values())
         assert bool(rows) == (start.count() > 0)
+
+
+def test_stages_judge_rows_that_share_an_id_one_by_one(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    texts = [(1, words(0)), (1, words(1)), (1, None), (2, words(2)), (2, words(2)), (None, words(3)), (None, words(4)), (None, words(0)), (3, words(5))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = Counter([(1, words(0)), (1, words(1)), (2, words(2)), (None, words(3)), (None, words(4)), (3, words(5))])
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, now, SF)
+        if name == "language_id":
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(x for x in texts if x[1])
+        else:
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == want, name
+        now = spark.createDataFrame(out.collect(), out.schema)
+    # near-dedup alone must tell the rows apart too, and the mix takes each row on its own
+    near = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.filter("text is not null"), SF)
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == want
+    mixed = dict(corpus_pipeline.STAGES)["source_mixing"](spark, now, SF)
+    assert {r.text for r in mixed.collect()} == {t for _, t in want}
+    assert mixed.columns == docs.columns
