@@ -53,13 +53,15 @@ WHERE a.status = 'approved' AND p.status = 'proposed' AND p.value <> a.value AND
 def fact_conflicts(spark, sf_dir):
     """Proposed facts against the approved facts that are in force when they begin; older ones are outdated and dropped.
 
-    A subject's facts follow one another, so the fact in force is the one before: a lag, no pairs of all of a key.
+    No fact of a key begins between one's valid_from and valid_until, so a fact is in force for those that begin at
+    either: an equi-join by key and time, no pairs of all of a key.
     """
-    order = Window.partitionBy("tenant_id", "subject", "predicate").orderBy("valid_from", "fact_id")
+    key = ["tenant_id", "subject", "predicate"]
     now = facts(spark, sf_dir)
-    lagged = now.withColumn("around", F.array(*[F.lag(F.struct("fact_id", "value", "valid_from", "valid_until", "status"), i).over(order) for i in (1, -1)]))
-    same_time = lagged.filter("status = 'proposed'").withColumn("a", F.explode("around")).filter("a.status = 'approved'")
-    held = same_time.filter("a.value != value and valid_from >= a.valid_from and (a.valid_until is null or a.valid_until >= valid_from)")
+    approved = now.filter("status = 'approved'").select(
+        *key, F.struct("fact_id", "value", "valid_from").alias("a"), F.explode(F.array_distinct(F.array("valid_from", "valid_until"))).alias("valid_from")
+    )
+    held = now.filter("status = 'proposed'").join(approved, [*key, "valid_from"]).filter("a.value != value")
     return held.select(
         F.col("fact_id").alias("proposed_id"),
         F.col("a.fact_id").alias("approved_id"),
