@@ -67,6 +67,27 @@ def entropy(text: Column) -> Column:
     return F.when(size > 0, F.aggregate(chars, F.lit(0.0), lambda a, c: a + part(c))).otherwise(0.0)
 
 
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*)$", 1)
+
+
+def label_sample(known: DataFrame, totals: dict[float, int], sample: int) -> DataFrame:
+    """About ``sample`` rows of known, chosen by a hash of URL and row id, each label's apart.
+
+    A label has an equal part of the sample, or all its rows if they are fewer;
+    what it leaves goes to the others.
+    """
+    left, share = sample, {}
+    for i, (label, n) in enumerate(sorted(totals.items(), key=lambda x: x[1])):
+        part = min(n, max(1, left // (len(totals) - i)))
+        share[label] = part / n
+        left -= part
+    if not share:
+        return known.limit(0)
+    limits = F.create_map(*[F.lit(float(x)) for kv in share.items() for x in kv])
+    return known.filter(F.pmod(F.xxhash64("url", "id"), F.lit(1 << 40)) < F.element_at(limits, F.col("label")) * (1 << 40))
+
+
 def features(parts: DataFrame) -> DataFrame:
     """parts has url, host and path; adds the lexical features but those of the suffix, and the suffix itself."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
@@ -87,7 +108,7 @@ def features(parts: DataFrame) -> DataFrame:
             "host_entropy": entropy(host),
             "parameters": F.when(query == "", 0).otherwise(count(query, "&") + 1),
             "secure": F.startswith(url, F.lit("https:")).cast("int"),
-            "suffix": F.regexp_extract(host, r"([^.]*)$", 1),
+            "suffix": suffix_of(host),
         }
     )
 
@@ -107,9 +128,9 @@ def judge_urls(
     verdict is the action of the longest rule that fits, else that of the
     trees. labelled: url and label (1 to block); by default the rows that a rule
     fits, with its action. The trees learn from about ``sample`` of the labelled
-    rows, chosen by a hash of the URL; suffix statistics (rows and blocked share
-    of the host's last label; of unknown ones 0 and 0.5) come from the same rows,
-    and either kind of label weighs half of all. With one kind of label
+    rows, an equal part of each label as far as it has rows; suffix statistics
+    (rows and blocked share of the host's last label; of unknown ones 0 and 0.5)
+    come from all labelled rows, and either kind of label weighs half of all. With one kind of label
     only, that kind is the verdict; with no labels, allow. A null URL and one
     without :// have an empty host and path and are judged by the trees.
     Repeated rows get equal answers; an empty table gives no rows.
@@ -120,20 +141,23 @@ def judge_urls(
     ).withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     if labelled is None:
         known = parts.filter("found is not null").select(
-            "url", "host", "path", (F.col("found.action") == "block").cast("double").alias("label")
+            F.col("page_id").alias("id"), "url", "host", "path", (F.col("found.action") == "block").cast("double").alias("label")
         )
     else:
         known = labelled.filter("url is not null and label is not null").select(
+            F.col(id_col).alias("id") if id_col in labelled.columns else F.monotonically_increasing_id().alias("id"),
             "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label")
         )
-    n = known.count()
-    near = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    train = materialize(features(known.filter(near)), "labelled-urls")
+    counts = materialize(known.groupBy(suffix_of(F.col("host")).alias("_suffix"), "label").agg(F.count("*").alias("n")), "url-labels")
     suffixes = materialize(
-        train.groupBy(F.col("suffix").alias("_suffix")).agg(F.count("*").alias("suffix_rows"), F.avg("label").alias("suffix_blocked")),
+        counts.groupBy("_suffix").agg(
+            F.sum("n").alias("suffix_rows"), (F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("suffix_blocked")
+        ),
         "url-suffixes",
     )
-    kinds = [r["label"] for r in train.select("label").distinct().limit(2).collect()]
+    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    kinds = list(totals)
+    train = materialize(features(label_sample(known, totals, sample)), "labelled-urls")
     overall = train.agg(F.avg("label")).first()[0] or 0.0
 
     def assembled(df: DataFrame) -> DataFrame:

@@ -147,3 +147,15 @@ def test_largest_counts_ties(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 100).cast("double").alias("key"))
     kept = [r.doc_id for r in quality.largest(df, 0.25).filter("kept").collect()]
     assert sorted(kept) == [*range(750, 1000)]
+
+
+def test_url_labels_of_a_rare_kind_and_a_frequent_url(spark):
+    good = [(f"http://site{i}.org/news/today", 0.0) for i in range(4000)] + [("http://one.org/", 0.0)] * 2000
+    known = spark.createDataFrame([*good, ("http://0-1-2-3.bad/?a=1&b=2", 1.0), ("http://4-5-6-7.bad/?a=1&b=2", 1.0)], "url string, label double")
+    rows = known.withColumn("id", F.monotonically_increasing_id())
+    some = url_filter.label_sample(rows, {0.0: 6000, 1.0: 2}, 300).collect()
+    assert sum(r.label for r in some) == 2 and 200 < len(some) < 400
+    assert 50 < sum(r.url == "http://one.org/" for r in some) < 150
+    pages = spark.createDataFrame([(1, "http://8-9-8-9.bad/?a=1&b=2"), (2, "http://site77.org/news/today")], "page_id long, url string")
+    judged = url_filter.judge_urls(pages, rules=(("allow", "x.y", "/"),), labelled=known, sample=300).collect()
+    assert {r.page_id: r.verdict for r in judged} == {1: "block", 2: "allow"}
