@@ -27,7 +27,7 @@ def semantic_claim_gate(spark, sf_dir):
     return own.withColumn("rn", F.row_number().over(w)).filter("score >= 0.55 or rn = 1").select("vec_id", "label", "score", verdict.alias("verdict"))
 
 
-@query("cross_document_neighbours", [57, 58, 165], """SELECT query_id, id, similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+@query("cross_document_neighbours", [57, 165], """SELECT query_id, id, similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 20 = 0) WHERE rn <= 3""")
 def cross_document_neighbours(spark, sf_dir):
     """The three nearest rows of other groups for every query (ids divisible by 20)."""

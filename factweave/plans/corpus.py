@@ -140,7 +140,7 @@ def corpus_audit(spark, sf_dir):
     return own.select("lang", "docs", "claims", share(F.col("figures"), F.col("claims")).alias("figure_share"), F.round(1 - F.col("different") / F.col("claims"), 6).alias("repeat_share"))
 
 
-@query("token_co_occurrence", [119, 266, 263], f"""WITH {TOKENS_SQL}, t AS (SELECT DISTINCT source, token FROM tokens WHERE length(token) >= 8),
+@query("token_co_occurrence", [266, 263], f"""WITH {TOKENS_SQL}, t AS (SELECT DISTINCT source, token FROM tokens WHERE length(token) >= 8),
 k AS (SELECT token FROM t GROUP BY token HAVING count(*) BETWEEN 2 AND 4), o AS (SELECT source, token FROM t JOIN k USING (token))
 SELECT a.token AS a, b.token AS b, count(*)::BIGINT AS groups FROM o a JOIN o b ON a.source = b.source AND a.token < b.token GROUP BY ALL HAVING count(*) >= 3""")
 def token_co_occurrence(spark, sf_dir):
