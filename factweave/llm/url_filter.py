@@ -23,9 +23,14 @@ RULES = (
 )
 FEATURES = [
     "url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "other_ratio",
-    "hyphens", "entropy", "host_entropy", "parameters", "secure", "suffix_rows", "suffix_blocked",
+    "hyphens", "entropy", "host_entropy", "parameters", "secure", "suffix_share", "suffix_blocked",
 ]
 
+#: Labelled rows are dealt by a hash of the URL; a row learns from its suffix's statistics in the other folds.
+FOLDS = 5
+#: Rows of the overall blocked share that every suffix's own share is mixed with.
+PRIOR_ROWS = 10.0
+
 
 def after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -113,6 +118,39 @@ def features(parts: DataFrame) -> DataFrame:
     )
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS))
+
+
+def suffix_counts(known: DataFrame) -> DataFrame:
+    """suffix, fold, rows, blocked of all labelled rows: sums with a map side, five rows for each suffix at most."""
+    own = known.groupBy(suffix_of(F.col("host")).alias("suffix"), fold_of(F.col("url")).alias("fold"))
+    return own.agg(F.count("*").alias("rows"), F.sum("label").alias("blocked"))
+
+
+def with_suffix_statistics(rows: DataFrame, counts: DataFrame, out_of_fold: bool) -> DataFrame:
+    """Adds suffix_share, of all labelled rows, and suffix_blocked, the suffix's blocked share mixed with the overall one.
+
+    out_of_fold: what is counted leaves out the fold of the row's own URL, so
+    that no row's label is among its features. An unknown suffix has share 0
+    and the overall blocked share; without labelled rows that is 0.5.
+    """
+    total = counts.agg(F.sum("rows").alias("all_rows"), F.sum("blocked").alias("all_blocked"))
+    by_suffix = counts.groupBy("suffix").agg(F.sum("rows").alias("s_rows"), F.sum("blocked").alias("s_blocked"))
+    both = rows.join(by_suffix, "suffix", "left").crossJoin(F.broadcast(total))
+    parts = ["s_rows", "s_blocked", "all_rows", "all_blocked"]
+    value = {c: F.coalesce(c, F.lit(0.0)) for c in parts}
+    if out_of_fold:
+        own = counts.select("suffix", "fold", F.col("rows").alias("o_rows"), F.col("blocked").alias("o_blocked"))
+        fold = counts.groupBy("fold").agg(F.sum("rows").alias("f_rows"), F.sum("blocked").alias("f_blocked"))
+        both = both.withColumn("fold", fold_of(F.col("url"))).join(own, ["suffix", "fold"], "left").join(F.broadcast(fold), "fold", "left")
+        value = {c: value[c] - F.coalesce(o, F.lit(0.0)) for c, o in zip(parts, ("o_rows", "o_blocked", "f_rows", "f_blocked"))}
+    overall = F.when(value["all_rows"] > 0, value["all_blocked"] / value["all_rows"]).otherwise(0.5)
+    share = F.when(value["all_rows"] > 0, value["s_rows"] / value["all_rows"]).otherwise(0.0)
+    mixed = (value["s_blocked"] + PRIOR_ROWS * overall) / (value["s_rows"] + PRIOR_ROWS)
+    return both.withColumn("suffix_share", share).withColumn("suffix_blocked", mixed)
+
+
 def judge_urls(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -128,12 +166,13 @@ def judge_urls(
     verdict is the action of the longest rule that fits, else that of the
     trees. labelled: url and label (1 to block); by default the rows that a rule
     fits, with its action. The trees learn from about ``sample`` of the labelled
-    rows, an equal part of each label as far as it has rows; suffix statistics
-    (rows and blocked share of the host's last label; of unknown ones 0 and 0.5)
-    come from all labelled rows, and either kind of label weighs half of all. With one kind of label
-    only, that kind is the verdict; with no labels, allow. A null URL and one
-    without :// have an empty host and path and are judged by the trees.
-    Repeated rows get equal answers; an empty table gives no rows.
+    rows, an equal part of each label as far as it has rows, and either kind of
+    label weighs half of all. Statistics of suffixes (the host's last label)
+    come from all labelled rows; see with_suffix_statistics. With one kind of
+    label only, that kind is the verdict; with no labels, allow. A null URL and
+    one without :// have an empty host and path and are judged by the trees,
+    whole URLs of any length. Repeated rows get equal answers; columns other
+    than the two are not read; an empty table gives no rows.
     """
     url = F.col(url_col)
     parts = pages.select(
@@ -148,30 +187,24 @@ def judge_urls(
             F.col(id_col).alias("id") if id_col in labelled.columns else F.monotonically_increasing_id().alias("id"),
             "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label")
         )
-    counts = materialize(known.groupBy(suffix_of(F.col("host")).alias("_suffix"), "label").agg(F.count("*").alias("n")), "url-labels")
-    suffixes = materialize(
-        counts.groupBy("_suffix").agg(
-            F.sum("n").alias("suffix_rows"), (F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("suffix_blocked")
-        ),
-        "url-suffixes",
-    )
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    kinds = list(totals)
-    train = materialize(features(label_sample(known, totals, sample)), "labelled-urls")
-    overall = train.agg(F.avg("label")).first()[0] or 0.0
-
-    def assembled(df: DataFrame) -> DataFrame:
-        both = df.join(suffixes, df["suffix"] == suffixes["_suffix"], "left").fillna({"suffix_rows": 0, "suffix_blocked": 0.5})
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(both)
-
-    if len(kinds) == 2:
-        learner = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1, weightCol="weight")
+    counts = materialize(suffix_counts(known), "url-suffixes")
+    seen = counts.agg(F.sum("rows").alias("rows"), F.sum("blocked").alias("blocked")).first()
+    n, blocked = seen["rows"] or 0, int(seen["blocked"] or 0)
+    totals = {label: k for label, k in ((0.0, n - blocked), (1.0, blocked)) if k}
+
+    def assembled(df: DataFrame, out_of_fold: bool) -> DataFrame:
+        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_statistics(features(df), counts, out_of_fold))
+
+    if len(totals) == 2:
+        train = materialize(label_sample(known, totals, sample), "labelled-urls")
+        overall = train.agg(F.avg("label")).first()[0]
+        learner = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1, weightCol="weight", minWeightFractionPerNode=0.02)
         balance = F.when(F.col("label") > 0, 0.5 / overall).otherwise(0.5 / (1 - overall))
-        model = learner.fit(assembled(train).select("features", "label", balance.alias("weight")))
-        judged = model.transform(assembled(features(parts)))
+        model = learner.fit(assembled(train, True).select("features", "label", balance.alias("weight")))
+        judged = model.transform(assembled(parts, False))
         judged = judged.withColumn("block_score", vector_to_array("probability")[1])
     else:
-        judged = parts.withColumn("block_score", F.lit(float(kinds[0]) if kinds else 0.0))
+        judged = parts.withColumn("block_score", F.lit(max(totals, default=0.0)))
     said = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     return judged.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", said).alias("verdict"), "block_score"
