@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without it and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"{tempfile.gettempdir()}/factweave-shared"
     return root.rstrip("/")
 
@@ -62,26 +64,37 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-#: The column by which a stage tells rows apart.
-ROW = "_row"
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_row_key(docs: DataFrame, id_col: str, nulls_first: bool = True) -> DataFrame:
-    """docs with _row, which no two rows share and which is ordered as the ids: the id itself where ids are unique.
+def fresh(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Else it is the id with the row's number, which is written once with the
-    table, so that all that is decided by it means one row. Only ids are read
-    to find out. A null id comes before all others, or after them.
+
+def with_row_key(docs: DataFrame, id_col: str, nulls_first: bool = True) -> tuple[DataFrame, str]:
+    """docs with a column that no two rows share and that is ordered as the ids, and its name.
+
+    It is the id itself where ids are unique. Else it is the id with the row's
+    number, which is written once with the table, so that all that is decided
+    by it means one row. Only ids are read to find out. A null id comes before
+    all others, or after them. Columns of docs keep their names and values.
     """
-    repeated = docs.groupBy(id_col).count().filter("count > 1")
+    row = fresh("_row", docs.columns)
+    own = quoted(id_col)
+    repeated = docs.select(own.alias("id")).groupBy("id").count().filter("count > 1")
     if repeated.isEmpty():
-        return docs.withColumn(ROW, F.col(id_col))
-    own = F.col(id_col)
+        return docs.withColumn(row, own), row
     key = F.struct((own.isNotNull() if nulls_first else own.isNull()).alias("rank"), own.alias("id"), F.monotonically_increasing_id().alias("n"))
-    return materialize(docs.withColumn(ROW, key), "rows")
+    return materialize(docs.withColumn(row, key), "rows"), row
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is not among those of dropped; a null id matches null."""
-    gone = dropped.select(F.col(dropped.columns[0]).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of docs whose id is not among those of dropped, its first column; a null id matches null."""
+    gone = dropped.select(quoted(dropped.columns[0]).alias("gone"))
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone"]), "left_anti")

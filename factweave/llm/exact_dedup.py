@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ascii_lower, materialize, table, with_row_key, without_ids
+from .common import ascii_lower, materialize, table, with_row_key, without_ids
 
 
 def sha256(text: Column) -> Column:
@@ -84,9 +84,9 @@ def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id, null among them, count one by one: only equal texts go.
     """
-    rows = with_row_key(docs, "doc_id")
-    dropped = exact_dedup(rows, id_col=ROW).filter("not kept").select("doc_id")
-    return without_ids(rows, dropped, ROW).drop(ROW)
+    rows, row = with_row_key(docs, "doc_id")
+    dropped = exact_dedup(rows, id_col=row).filter("not kept").select("doc_id")
+    return without_ids(rows, dropped, row).drop(row)
 
 
 ORACLE_SQL = """

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ROW, small_batches, table, with_row_key, without_ids
+from .common import materialize, small_batches, table, with_row_key, without_ids
 
 #: n-grams have 1 to GRAMS characters; three code points of 21 bits fill a long.
 GRAMS = 3
@@ -139,10 +139,12 @@ def identify(
     top: int = 400,
     sample: int = 2000,
     key_col: str | None = None,
+    give_lang: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    key_col: the column to give as doc_id, if not the id.
+    key_col: the column to give as doc_id, if not the id. give_lang: adds lang,
+    the given one, which no prediction reads.
 
     Profiles come from the labelled documents that are not held out (crc32 of
     the id, in fifths), from about ``sample`` of each language. score is 1 minus
@@ -164,27 +166,39 @@ def identify(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [classify(t.as_py(), profiles, top) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+            found = [pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *batch.columns[3:]], names=names)
 
-    key = F.col(key_col) if key_col else F.col(id_col).cast("long")
-    rows = docs.select(key.alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, StructType([rows.schema["doc_id"]]).add("held_out", "boolean").add("lang_pred", "string").add("score", "double"))
+    key = F.col(f"`{key_col}`") if key_col else F.col(id_col).cast("long")
+    rows = docs.select(
+        key.alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), *([F.col(lang_col).alias("lang")] if give_lang else [])
+    )
+    schema = StructType([rows.schema["doc_id"]]).add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
+    if give_lang:
+        schema = schema.add("lang", "string")
+    names = schema.names
+    return rows.mapInArrow(predict, schema)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+#: A text whose score is under this share of the least that a rightly recognised labelled document has is in no known language.
+FAR = 0.5
+
+
 def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is found: null texts and texts without letters.
+    """Rejects documents in which no known language is found: null texts, texts without letters, and texts far from every profile.
 
-    The others stay as they are, with the language that they came with. Rows
-    that repeat an id, null among them, are judged one by one.
+    How far is far follows from the labelled documents that are not held out:
+    the least score of those whose language is recognised, times FAR. Where
+    none is recognised, only texts without letters go. The others stay as they
+    are, with the language that they came with. Rows that repeat an id, null
+    among them, are judged one by one.
     """
-    rows = with_row_key(docs, "doc_id")
-    gone = identify(rows, key_col=ROW).filter(F.col("lang_pred") == UNKNOWN).select("doc_id")
-    return without_ids(rows, gone, ROW).drop(ROW)
-
+    rows, row = with_row_key(docs, "doc_id")
+    said = materialize(identify(rows, key_col=row, give_lang=True), "languages")
+    least = said.filter("not held_out and lang = lang_pred").agg(F.min("score")).first()[0]
+    gone = said.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < FAR * (least or 0.0))).select("doc_id")
+    return without_ids(rows, gone, row).drop(row)

@@ -10,7 +10,8 @@ The prefix is found in two levels, so that a source with a third of all rows is
 never sorted in one task: sizes are summed in key ranges (an aggregation with a
 map side), the prefix sums of the ranges show which one range of each source
 the budget ends in, and only the rows of that range are sorted. A range is
-1/``ranges`` of a source.
+1/``ranges`` of a source. Rows that repeat an id have one key; they are counted
+before the range is sorted, and dealt out again by their number.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, table, with_row_key
+from .common import fresh, materialize, quoted, table, with_row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -135,19 +136,37 @@ def mix_sources(
     inside = rows.filter(F.col("end_range").isNull() | (F.col("range") != F.col("end_range"))).withColumn(
         "more", (F.col("range") < F.col("end_range")) & F.col("end_range").isNotNull()
     )
-    upto = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        rows.filter(F.col("range") == F.col("end_range"))
-        .withColumn("upto", F.col("before_range") + F.sum("size").over(upto))
-        .withColumn("more", F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-        .drop("upto")
-    )
+    edge = edge_rows(rows.filter(F.col("range") == F.col("end_range")))
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0))
     return inside.unionByName(edge).select(
         "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "quality_weight", "key"
     )
 
 
+#: Equal rows that one task writes.
+AT_ONCE = 1 << 16
+
+
+def edge_rows(rows: DataFrame) -> DataFrame:
+    """The rows of the ranges in which budgets end, with ``more``: whether the prefix takes the row.
+
+    Equal rows are counted with a map side; the window sees each once.
+    """
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = equal.withColumn("before", F.col("before_range") + F.sum(F.col("n") * F.col("size")).over(upto) - F.col("n") * F.col("size"))
+    one = (F.col("before") + F.col("size") - F.col("size") / 2 <= F.col("rest")).cast("long")
+    some = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5)))
+    own = own.withColumn("times", F.when(F.col("n") == 1, one).when(F.col("size") > 0, some).otherwise(F.lit(0)))
+    single = own.filter("n = 1").withColumn("more", F.col("times") > 0)
+    parts = own.filter("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / AT_ONCE))))
+    dealt = parts.repartition("source", "doc_id", "part")
+    first = F.col("part") * AT_ONCE + 1
+    place = F.explode(F.sequence(first, F.least(first + AT_ONCE - 1, F.col("n"))))
+    several = dealt.withColumn("place", place).withColumn("more", F.col("place") <= F.col("times"))
+    return single.select(*rows.columns, "more").unionByName(several.select(*rows.columns, "more"))
+
+
 def label_quality(labels: DataFrame) -> DataFrame:
     """Quality weights from labels: 2 for documents labelled good, 0.5 for those labelled bad."""
     rated = labels.filter("doc_id is not null and quality is not null")
@@ -166,13 +185,15 @@ def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are in no mix. Rows that repeat an id, null among
     them, count one by one, each with the quality of its id.
     """
-    rows = with_row_key(docs, "doc_id")
+    rows, row = with_row_key(docs, "doc_id")
     quality = label_quality(table(spark, sf_dir, "labels"))
-    rated = rows.select("doc_id", ROW).join(quality, "doc_id").select(F.col(ROW).alias("doc_id"), "quality_weight")
-    mix = mix_sources(rows, id_col=ROW, quality=rated).filter("taken > 0")
-    times = mix.select(F.col("doc_id").alias("_id"), F.expr("int(taken / size)").alias("_times"))
-    joined = rows.join(times, rows[ROW].eqNullSafe(times["_id"]))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rated = rows.select(F.col("doc_id"), quoted(row).alias("key")).join(quality, "doc_id").select(F.col("key").alias("doc_id"), "quality_weight")
+    mix = mix_sources(rows, id_col=row, quality=rated).filter("taken > 0")
+    which, times = fresh("_which", rows.columns), fresh("_times", rows.columns)
+    found = mix.select(F.col("doc_id").alias(which), F.expr("int(taken / size)").alias(times))
+    joined = rows.join(found, rows[row].eqNullSafe(found[which]))
+    kept = [quoted(c) for c in docs.columns]
+    return joined.select(*kept, F.explode(F.sequence(F.lit(1), F.col(times))).alias(which)).select(*kept)
 
 
 ORACLE_SQL = """

@@ -51,13 +51,13 @@ def _model_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def log_ratios(docs: DataFrame, good: DataFrame, id_col: str, text_col: str, sample: int) -> np.ndarray:
     """log target / raw for each bucket. The raw model counts every row of docs; the target's about ``sample`` rows of good.
 
-    What is broadcast are the sample's ids, at most about ``sample``; what comes to the driver is one row for each bucket.
+    The sample's ids are written, so that Spark broadcasts them by their size; what comes to the driver is one row for each bucket.
     """
     n = good.count()
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    chosen = good.filter(near).select(F.col("doc_id").alias("_id")).distinct().withColumn("good", F.lit(True))
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"], "left")
-    rows = rows.select(F.col(text_col).alias("text"), F.coalesce("good", F.lit(False)).alias("good"))
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < min(1.0, sample / max(n, 1)) * (1 << 40)
+    chosen = materialize(good.filter(near).select(F.col("doc_id").alias("id")).distinct(), "target-ids")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = own.join(chosen, own["doc_id"] == chosen["id"], "left").select("text", F.col("id").isNotNull().alias("good"))
     counts = rows.mapInArrow(_model_batches, "bucket long, raw long, target long")
     totals = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
@@ -69,27 +69,67 @@ def log_ratios(docs: DataFrame, good: DataFrame, id_col: str, text_col: str, sam
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def largest(scored: DataFrame, share: float, margin: float = 1e-3) -> DataFrame:
-    """Adds kept: true for the round(share * rows) rows with the largest key, then the largest doc_id.
+#: Ranges in which the cut is looked for at a time.
+PARTS = 1024
 
-    Two quantiles enclose the cut; only the rows between them, about 2 *
-    ``margin`` of all, are sorted, and the others' places follow from counts.
+
+def _cut(rows: DataFrame, bounds: DataFrame, part, k: int):
+    """The value in column v at which the k largest rows end, and how many of its rows they take.
+
+    Each round counts the rows of PARTS ranges (with a map side) and goes on in
+    the range where the k-th row is, until that holds one value. What comes to
+    the driver is one row for each range.
+    """
+    low, high = bounds.first()
+    while True:
+        counted = rows.filter(F.col("v").between(low, high)).groupBy(part(low, high).alias("part"))
+        found = counted.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for r in sorted(found, key=lambda r: -r["part"]):
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+        low, high = r["low"], r["high"]
+        if low == high:
+            return low, k
+
+
+def largest(scored: DataFrame, share: float) -> DataFrame:
+    """Adds kept: true for the round(share * rows) rows with the largest key, then the largest doc_id, null last.
+
+    The cut is found by counting ranges, first of keys, then of the ids that
+    have the cut's key. Rows equal in both are as good as each other: they are
+    counted by partition, and each partition keeps a number of its own.
     """
     n = scored.count()
     k = round(share * n)
-    if n == 0:
-        return scored.withColumn("kept", F.lit(False))
-    at = [max(0.0, 1 - share - margin), min(1.0, 1 - share + margin)]
-    low, high = scored.agg(F.percentile_approx("key", at, 100_000)).first()[0]
-    above = scored.filter(F.col("key") > high).count()
-    below = scored.filter(F.col("key") < low).count()
-    if not (above <= k <= n - below):  # the quantiles are too rough for this margin
-        return largest(scored, share, margin * 10)
-    middle = scored.filter(F.col("key").between(low, high))
-    order = Window.orderBy(F.desc("key"), F.desc_nulls_last("doc_id"))
-    middle = middle.withColumn("kept", F.row_number().over(order) <= k - above)
-    rest = scored.filter(~F.col("key").between(low, high)).withColumn("kept", F.col("key") > high)
-    return rest.unionByName(middle)
+    if k == 0 or k == n:
+        return scored.withColumn("kept", F.lit(k > 0))
+    keys = scored.select(F.col("key").alias("v"))
+    width = lambda low, high: F.least(F.lit(PARTS - 1), F.floor((F.col("v") - low) / (high - low) * PARTS)) if high > low else F.lit(0)
+    key, k = _cut(keys, keys.agg(F.min("v"), F.max("v")), width, k)
+    tied = scored.filter(F.col("key") == key)
+    named, ids = tied.filter("doc_id is not null").count(), tied.select(F.col("doc_id").alias("v")).filter("v is not null")
+    own = None
+    if k <= named:
+        exact = lambda low, high: F.expr(f"cast((cast(v as decimal(20,0)) - {low}) * {PARTS} div ({high - low + 1}) as int)")
+        own, k = _cut(ids, ids.agg(F.min("v"), F.max("v")), exact, k)
+        above = tied.filter(F.col("doc_id") > own)
+        below = tied.filter(F.col("doc_id").isNull() | (F.col("doc_id") < own))
+        last = tied.filter(F.col("doc_id") == own)
+    else:
+        k -= named
+        above, below, last = tied.filter("doc_id is not null"), tied.limit(0), tied.filter("doc_id is null")
+    parts = [scored.filter(F.col("key") != key).withColumn("kept", F.col("key") > key), above.withColumn("kept", F.lit(True)), below.withColumn("kept", F.lit(False))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.unionByName(_some(last, k))
+
+
+def _some(rows: DataFrame, k: int) -> DataFrame:
+    """kept is true for k of the rows: of equal rows, any. The window runs over one row for each partition and kind of row."""
+    order = Window.orderBy("part", *rows.columns).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("part", F.spark_partition_id()).groupBy("part", *rows.columns).agg(F.count("*").alias("n"))
+    counted = counted.withColumn("times", F.lit(k) - (F.sum("n").over(order) - F.col("n")))
+    return counted.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*rows.columns, (F.col("i") <= F.col("times")).alias("kept"))
 
 
 def resample(

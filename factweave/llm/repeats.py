@@ -155,7 +155,9 @@ def common_prefix_hits(contexts: list[bytes], firsts: np.ndarray) -> np.ndarray:
     The column-wise construction: columns are places from the anchor, from the
     last to the first. order has the contexts by their suffix from the column
     on, common the symbols that a suffix shares with the one before it (WIDTH
-    stands for all from there on). Where a context has no symbol it shares none.
+    stands for all from there on). The symbols to insert next, in that order,
+    are the Burrows-Wheeler transform of the column; sorting them, stably, gives
+    the next order. Where a context has no symbol it shares none.
     """
     m, columns = len(contexts), REACH + WIDTH
     symbols = np.full((m, columns), ABSENT, np.uint8)
@@ -168,10 +170,10 @@ def common_prefix_hits(contexts: list[bytes], firsts: np.ndarray) -> np.ndarray:
     for i in range(2, m + 1):
         log[i] = log[i >> 1] + 1
     for column in range(columns - 1, -1, -1):
-        inserted = symbols[column][order]
-        moved = np.argsort(inserted, kind="stable")
+        transform = symbols[column][order]
+        moved = np.argsort(transform, kind="stable")
         before, after = moved[:-1], moved[1:]
-        symbol = inserted[moved]
+        symbol = transform[moved]
         same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != ABSENT))
         shared = np.zeros(m, np.uint8)
         if same.size:
@@ -358,7 +360,7 @@ def remove_repeats(
     places = materialize(places, "repeated-places")
     spans = anchors.join(places, ["anchor", "context"]).select("doc_id", "rid", "place", F.explode("ranges").alias("r"))
     spans = spans.select("doc_id", "rid", F.struct((F.col("place") + F.col("r.from")).alias("a"), (F.col("place") + F.col("r.to") + WIDTH).alias("b")).alias("s"))
-    by_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).agg(F.collect_list("s").alias("spans"))
+    by_doc = spans.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).agg(F.collect_list("s").alias("spans"))
     joined = rows.join(by_doc, own, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_removal(digests), DIGESTS if digests else CLEANED)
 

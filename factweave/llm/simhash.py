@@ -2,9 +2,10 @@
 
 Fingerprints come from hashed word shingles. To find all pairs within a radius
 r, each bit position gets a code of r + 1 bits; each of the 2^(r+1) - 1 masks
-keeps the positions whose code has an even product with it. For up to r
+keeps the positions whose code has an odd product with it. For up to r
 differing positions some mask's number is orthogonal to all their codes, so
-that pair has equal masked values in that mask's table: no pair is missed.
+the mask keeps none of them, and that pair has equal masked values in that
+mask's table: no pair is missed.
 
 Buckets are worked on without listing all pairs. Distinct fingerprints come
 first (equal ones need no comparison). A small bucket's fingerprints are
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ROW, materialize, small_batches, table, with_row_key, without_ids
+from .common import materialize, small_batches, table, with_row_key, without_ids
 from .components import connected_components
 
 BITS = 64
@@ -158,6 +159,6 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are one group. Rows that repeat an id, null among
     them, count one by one; a null id loses against any other.
     """
-    rows = with_row_key(docs, "doc_id", nulls_first=False)
-    dropped = near_groups(rows, id_col=ROW).filter("not doc_id <=> component_id").select("doc_id")
-    return without_ids(rows, dropped, ROW).drop(ROW)
+    rows, row = with_row_key(docs, "doc_id", nulls_first=False)
+    dropped = near_groups(rows, id_col=row).filter("not doc_id <=> component_id").select("doc_id")
+    return without_ids(rows, dropped, row).drop(row)
