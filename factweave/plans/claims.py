@@ -32,12 +32,8 @@ def semantic_claim_gate(spark, sf_dir):
 def cross_document_neighbours(spark, sf_dir):
     """The three nearest rows of other groups for every query (ids divisible by 20)."""
     rows = read(spark, sf_dir, "embeddings")
-    found = None
-    for label in [r[0] for r in rows.select("label").distinct().collect()]:
-        asked = rows.filter((F.col("vec_id") % 20 == 0) & (F.col("label") == label)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-        part = V.top_k(rows.filter(F.col("label") != label), asked, "vec_id", "embedding", 3, blocks=1)
-        found = part if found is None else found.unionByName(part)
-    return found.select("query_id", "id", "similarity")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    return V.top_k(rows, asked, "vec_id", "embedding", 3, across="label").select("query_id", "id", "similarity")
 
 
 @query("axis_order", [127, 128], """WITH v AS (SELECT DISTINCT p_brand AS value FROM part) SELECT value, 'numeric' AS strategy, row_number() OVER (ORDER BY CAST(regexp_extract(value, '([0-9]+)', 1) AS BIGINT), value)::BIGINT AS place FROM v""")
