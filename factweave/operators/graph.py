@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
@@ -23,19 +23,32 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """node, rank after some rounds from equal ranks; what nodes without outgoing edges hold is spread over all."""
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    nodes = cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
-    n = nodes.count()
-    shares = cut(shares)
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    sinks = nodes.join(total, nodes["node"] == total["src"], "left_anti").withColumn("sink", F.lit(True))
+    """node, rank after some rounds from equal ranks; what nodes without outgoing edges hold is spread over all.
+
+    Each node keeps its outgoing shares as one list, so a round is one pass
+    over the nodes and one aggregate: a node gives its shares, and a row of its
+    own, to their targets. What sinks lose goes along in the same aggregate,
+    as the rank that no share carries on. Lists of a node with very many
+    edges are split over several rows of that node.
+    """
+    parts = 1 << 16
+    places = Window.partitionBy("src").orderBy("dst")
+    total = F.sum("weight").over(Window.partitionBy("src"))
+    out = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    out = out.select("src", "dst", (F.col("weight") / total).alias("share"), F.floor(F.row_number().over(places) / parts).alias("part"))
+    lists = out.groupBy("src", "part").agg(F.collect_list(F.struct("dst", "share")).alias("out"))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    graph = cut(nodes.join(lists, nodes["node"] == lists["src"], "left").select("node", "out", F.coalesce("part", F.lit(0)).alias("part")))
+    n = graph.filter("part = 0").count()
+    ranks = graph.filter("part = 0").select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for _ in range(rounds):
-        given = shares.join(ranks, shares["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = ranks.join(sinks, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        both = nodes.join(given, nodes["node"] == given["dst"], "left").crossJoin(F.broadcast(lost))
-        ranks = cut(both.select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+        held = graph.join(ranks, "node")
+        given = held.select(F.explode("out").alias("o"), "rank").select(F.col("o.dst").alias("node"), (F.col("rank") * F.col("o.share")).alias("got"))
+        own = held.filter("part = 0").select("node", F.lit(0.0).alias("got"))
+        sums = given.unionByName(own).groupBy("node").agg(F.sum("got").alias("got"))
+        carried = held.filter("out is not null and part = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("carried"))
+        both = sums.crossJoin(F.broadcast(carried))
+        ranks = cut(both.select("node", ((1 - damping) / n + damping * (F.col("got") + (1 - F.col("carried")) / n)).alias("rank")))
     return ranks
 
 

@@ -33,6 +33,26 @@ def bm25(counts: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.
     return scored.groupBy("doc_id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / norm).alias("score"))
 
 
+def bm25_of_texts(texts: DataFrame, id_col: str, tokens: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """doc_id and score as bm25, from rows with a list of tokens: lengths and term counts are worked out in each row, and what is
+    summed over the corpus is one row of counts. A text without tokens counts for neither length nor number."""
+    counts = [F.size(F.filter(tokens, equal_to(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = texts.select(F.col(id_col).alias("doc_id"), F.size(tokens).alias("length"), *counts).filter("length > 0")
+    df = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *df)
+    both = rows.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(corpus))
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, n = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log1p((F.col("docs") - n + 0.5) / (n + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))).otherwise(0.0)
+    return both.select("doc_id", score.alias("score"))
+
+
+def equal_to(value: str):
+    return lambda x: x == value
+
+
 def ranked(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows with their rank from 0; the first k come from a top-k, so the window sees k rows."""
     best = df.orderBy(F.desc(score), tie).limit(k)

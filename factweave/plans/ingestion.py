@@ -127,6 +127,7 @@ def acronym_map(spark, sf_dir):
 
 @query("text_measures", [224, 226, 227], """SELECT doc_id, length(text)::BIGINT AS chars, len(regexp_extract_all(text, '[^ \n]+'))::BIGINT AS words, round(sqrt(length(text)) + log2(1 + length(text)), 6) AS measure, upper(substr(text, 1, 3)) AS head FROM documents""")
 def text_measures(spark, sf_dir):
+    """Sizes, words, a measure and the head of a text in upper case, letter by letter: ß becomes ẞ, not two letters."""
     size = F.length("text")
     words = T.count_matches(F.col("text"), "[^ \n]+")
-    return read(spark, sf_dir, "documents").select("doc_id", size.cast("long").alias("chars"), words.alias("words"), F.round(F.sqrt(size) + F.log2(1 + size), 6).alias("measure"), F.upper(F.substring("text", 1, 3)).alias("head"))
+    return read(spark, sf_dir, "documents").select("doc_id", size.cast("long").alias("chars"), words.alias("words"), F.round(F.sqrt(size) + F.log2(1 + size), 6).alias("measure"), F.upper(F.replace(F.substring("text", 1, 3), F.lit("ß"), F.lit("ẞ"))).alias("head"))

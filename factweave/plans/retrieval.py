@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import graph as G
 from ..operators import lexical
 from ..operators import vectors as V
 from ..sources.tables import read
@@ -22,7 +23,7 @@ b AS (SELECT h.doc_id, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)
 
 @query("bm25_search", [278, 276], f"""WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, doc_id LIMIT 50""")
 def bm25_search(spark, sf_dir):
-    scored = lexical.bm25(lexical.term_counts(tokens(spark, sf_dir)), TERMS)
+    scored = lexical.bm25_of_texts(read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")), "doc_id", "w", TERMS)
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -34,7 +35,7 @@ SELECT id, round(1.0::DOUBLE / (60 + coalesce(lex.r, 151)) + 1.0::DOUBLE / (60 +
 def hybrid_search(spark, sf_dir):
     """Lexical and dense legs of 50 each, fused by reciprocal ranks."""
     k = 50
-    scored = lexical.bm25(lexical.term_counts(tokens(spark, sf_dir)), TERMS)
+    scored = lexical.bm25_of_texts(read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")), "doc_id", "w", TERMS)
     lex = lexical.ranked(scored.select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score")), "score", "id", k)
     rows = read(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id = 0").select(F.col("embedding").alias("q"))
@@ -59,12 +60,15 @@ def topic_documents(spark, sf_dir):
     return own.groupBy("source").agg(F.count("*").alias("docs"), F.round(F.max("share"), 6).alias("best"))
 
 
-def grams(df, id_col: str, text_col: str, n: int):
-    """Each run of n words of the lower-cased texts, with the words joined by a blank."""
+def grams(df, id_col: str, text_col: str, n: int, among=None):
+    """Each run of n words of the lower-cased texts, with the words joined by a blank, once for each id; among: only those of a table's column gram."""
     words = F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda w: w != "")
     lists = df.select(F.col(id_col), words.alias("w"))
     spans = lists.filter(F.size("w") >= n).select(id_col, "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
-    return spans.select(id_col, F.array_join(F.slice("w", F.col("i"), n), " ").alias("gram")).distinct()
+    made = spans.select(id_col, F.array_join(F.slice("w", F.col("i"), n), " ").alias("gram"))
+    if among is not None:
+        made = made.join(among, "gram", "left_semi")
+    return made.distinct()
 
 
 GRAMS_SQL = """SELECT DISTINCT {id}, array_to_string(w[i:i+7], ' ') AS gram FROM (
@@ -75,10 +79,12 @@ GRAMS_SQL = """SELECT DISTINCT {id}, array_to_string(w[i:i+7], ' ') AS gram FROM
 n AS (SELECT item_id, count(*) AS total FROM q GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::BIGINT AS shared, round(count(*)::DOUBLE / any_value(total), 6) AS share FROM d JOIN q USING (gram) JOIN n USING (item_id) GROUP BY doc_id, item_id""")
 def quote_containment(spark, sf_dir):
-    """How much of each quote's eight-word strings a document has: an equi-join on the strings."""
-    docs = grams(read(spark, sf_dir, "documents"), "doc_id", "text", 8)
-    quotes = grams(read(spark, sf_dir, "benchmark"), "item_id", "text", 8)
+    """How much of each quote's eight-word strings a document has: documents' strings that no quote has are left out before they are
+    made distinct or travel; the quotes' strings are few, and Spark broadcasts them by their measured size."""
+    quotes = G.cut(grams(read(spark, sf_dir, "benchmark"), "item_id", "text", 8))
     totals = quotes.groupBy("item_id").agg(F.count("*").alias("total"))
+    wanted = quotes.select("gram").distinct()
+    docs = grams(read(spark, sf_dir, "documents"), "doc_id", "text", 8, among=wanted)
     shared = docs.join(quotes, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     return shared.join(totals, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("total"), 6).alias("share"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,17 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, f"factweave/{path.relative_to(home)}")
     context.addPyFile(str(target))
     context._factweave_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in the one that spark.checkpoint.dir names. Only a local session may do without that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/factweave-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

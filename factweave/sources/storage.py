@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/factweave-{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

@@ -6,20 +6,13 @@ checkpoint and writes to the shared folder, from which the result is read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/factweave-stream-{name}-{uuid.uuid4().hex}"
+from ..session import shared_folder, ship_package
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -32,7 +25,7 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a streaming query over what is there; in complete mode the last state replaces the ones before."""
     spark = stream.sparkSession
-    place = shared_folder(spark, name)
+    place = shared_folder(spark, f"stream-{name}")
     writer = stream.writeStream.option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{place}/rows")
