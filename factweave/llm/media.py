@@ -83,18 +83,21 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def describe(tensors: list[np.ndarray]) -> str:
-    """Size, means and deviations of the three channels over a document's images."""
+    """Size, means and deviations of the three channels over a document's images, and a checksum of all pixels."""
     count = sum(t.shape[0] * t.shape[1] for t in tensors)
     sums = sum(t.sum(axis=(0, 1), dtype=np.int64) for t in tensors)
     squares = sum(np.einsum("ijk,ijk->k", t.astype(np.int64), t.astype(np.int64)) for t in tensors)
     means = sums / count
     deviations = np.sqrt(np.maximum(squares / count - means**2, 0))
     sizes = f"{sum(t.shape[1] for t in tensors)}x{tensors[0].shape[0]}"
-    return " ".join([sizes, *(f"{x:.3f}" for x in (*means, *deviations))])
+    pixels = 0
+    for t in tensors:
+        pixels = zlib.crc32(np.ascontiguousarray(t), pixels)
+    return " ".join([sizes, *(f"{x:.3f}" for x in (*means, *deviations)), f"{pixels:08x}"])
 
 
-def media_rows(texts: list[str | None]) -> Iterator[tuple[list[bytes], bytes, int, str]]:
-    """For each text the stored images, the payload as read back from them, the text's bytes, and the feature."""
+def media_rows(texts: list[str | None]) -> Iterator[tuple[list[bytes], bytes, int, list[np.ndarray]]]:
+    """For each text the stored images, the payload as read back from them, the text's bytes, and the RGB tensors."""
     payloads = [padded(t) for t in texts]
     pieces = [(i, p) for i, (data, _) in enumerate(payloads) for p in tiles(data)]
     files: list[bytes] = []
@@ -110,17 +113,20 @@ def media_rows(texts: list[str | None]) -> Iterator[tuple[list[bytes], bytes, in
             if len(files) < n:
                 break
             data = b"".join(x[0] for x in back[:n])[: len(payloads[at][0])]
-            yield files[:n], data, payloads[at][1], describe([x[1] for x in back[:n]])
+            yield files[:n], data, payloads[at][1], [x[1] for x in back[:n]]
             del files[:n], back[:n]
             at += 1
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-STORED = "doc_id long, n_bytes long, media array<binary>, feature string"
+DIGEST_NAMES = [x.split()[0] for x in DIGESTS.split(", ")]
+STORED = "doc_id long, n_bytes long, media array<binary>, tensors array<struct<height:int,width:int,rgb:binary>>, feature string"
+TENSOR = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, media (its images) and feature; with digests, these instead of the images.
+    """One row per document: doc_id, n_bytes, media (its images), tensors (of each image the full-resolution RGB bytes by row, column and
+    channel, with height and width) and feature; with digests, these instead of images and tensors.
 
     Null texts count as empty and take one block of zeros. Whole texts are
     stored; those of over MOST_MCUS * 384 bytes take several images. Equal texts
@@ -133,15 +139,15 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             rows = media_rows(batch.column(1).to_pylist())
             out = []
-            for media, payload, n, feature in rows:
+            for media, payload, n, pixels in rows:
                 if digests:
                     whole = b"".join(media)
-                    out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(whole), hashlib.sha256(whole).hexdigest(), feature))
+                    out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(whole), hashlib.sha256(whole).hexdigest(), describe(pixels)))
                 else:
-                    out.append((n, media, feature))
-            columns = list(zip(*out)) or [[]] * (7 if digests else 3)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.binary()), pa.string()]
-            names = [x.split()[0] for x in (DIGESTS if digests else STORED).split(", ")]
+                    out.append((n, media, [(t.shape[0], t.shape[1], t.tobytes()) for t in pixels], describe(pixels)))
+            columns = list(zip(*out)) or [[]] * (7 if digests else 4)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.binary()), pa.list_(TENSOR), pa.string()]
+            names = DIGEST_NAMES if digests else ["doc_id", "n_bytes", "media", "tensors", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -149,7 +155,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def tensors(media: DataFrame) -> DataFrame:
-    """doc_id, image (its place), height, width and rgb (bytes, by row, column and channel) of the rows of media_columns."""
+    """doc_id, image (its place), height, width and rgb (bytes, by row, column and channel), read again from the stored images."""
     small_batches(media.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
