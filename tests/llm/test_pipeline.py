@@ -8,7 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 import tiktoken
 from factweave.llm import bpe
-from test_core_operators import AWKWARD, SCHEMA, low, plain_components, plain_fingerprint, plain_targets
+from test_core_operators import AWKWARD, SCHEMA, low, plain_targets
+from test_similar import plain_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +43,7 @@ def test_pipeline_as_plain_version(spark):
     for i in sorted(kept):
         best[low(kept[i][0])] = i
     kept = {i: kept[i] for i in best.values()}
-    groups = plain_components({i: plain_fingerprint(t) for i, (t, _) in kept.items()})
+    groups = plain_groups({i: t for i, (t, _) in kept.items()})
     kept = {i: kept[i] for i in kept if groups[i] == i}
     times = plain_mix(kept, {r.doc_id: 2.0 if r.quality else 0.5 for r in labels})
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
