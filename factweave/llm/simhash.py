@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from .common import materialize, small_batches, table, with_row_key, without_ids
 from .components import connected_components
+from .similar import similar_groups
 
 BITS = 64
 SEED = 42
@@ -154,11 +155,14 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that with the smallest id.
+    """Keeps one document of each group of near duplicates: that with the smallest id.
 
+    Near are documents whose sets of five-word shingles have a similarity of
+    0.8 or more, and groups are what such links join (see similar.py; the
+    fingerprints of this module carry a radius in bits, not a similarity).
     Documents without words are one group. Rows that repeat an id, null among
     them, count one by one; a null id loses against any other.
     """
     rows, row = with_row_key(docs, "doc_id", nulls_first=False)
-    dropped = near_groups(rows, id_col=row).filter("not doc_id <=> component_id").select("doc_id")
-    return without_ids(rows, dropped, row).drop(row)
+    dropped = similar_groups(rows, row).filter("not key <=> component").select("key")
+    return without_ids(rows, materialize(dropped, "near-duplicates"), row).drop(row)
