@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,16 +71,31 @@ def reciprocal_rank_fusion(legs: Sequence[DataFrame], id_col: str, k: int, const
     return ranks.select(id_col, sum(parts[1:], parts[0]).alias("rrf"))
 
 
+def co_occurrence_of_rare(items: DataFrame, group: str, item: str, least: int, most: int) -> DataFrame:
+    """Pairs of items that are in ``least`` to ``most`` groups each and share ``least`` of them, with how many they share.
+
+    Two such items share ``least`` groups exactly if they have a choice of that
+    many groups in common. Items meet by these choices, not by group: only
+    pairs of the result meet.
+    """
+    own = items.select(group, item).distinct().groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(group)).alias("of"))
+    rare = own.filter(F.col("n").between(least, most) & (F.size("of") >= least))
+    places = [list(c) for n in range(least, most + 1) for c in combinations(range(n), least)]
+    chosen = F.array(*[F.when(F.size("of") > max(c), F.concat_ws("\x1f", *[F.col("of")[i] for i in c])) for c in places if max(c) < most])
+    keyed = rare.select(F.col(item).alias("a"), "of", F.explode(F.array_distinct(F.filter(chosen, lambda k: k.isNotNull()))).alias("key"))
+    met = keyed.join(keyed.select(F.col("a").alias("b"), F.col("of").alias("of_b"), "key"), "key").filter("a < b")
+    return met.select("a", "b", F.size(F.array_intersect("of", "of_b")).cast("long").alias("groups")).distinct()
+
+
 def co_occurrence(items: DataFrame, group: str, item: str, most_common: int | None = None) -> DataFrame:
     """Pairs of different items of a group, smaller first, with the number of groups.
 
-    Pairs come from each group's own items. most_common: leaves out items in more groups (hubs).
+    An equi-join on the group, which Spark can split where one is large; no list of a group is made. What pairs there are grows with
+    the square of a group: choose groups that are short by nature. most_common: leaves out items in more groups (hubs).
     """
     own = items.select(group, item).distinct()
     if most_common is not None:
         hubs = own.groupBy(item).count().filter(F.col("count") > most_common).select(item)
         own = own.join(hubs, item, "left_anti")
-    lists = own.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    left = lists.select("all", F.posexplode("all").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("groups"))
+    left, right = own.select(group, F.col(item).alias("a")), own.select(group, F.col(item).alias("b"))
+    return left.join(right, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("groups"))

@@ -15,7 +15,7 @@ from .registry import query
 from .values import PARSED_SQL
 
 
-@query("evidence_modes", [283, 116], """WITH e AS (SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'single' WHEN '2' THEN 'exhaustive' WHEN '3' THEN 'comparative' ELSE 'chronological' END AS mode, l_partkey, l_suppkey % 3 AS doc, l_quantity AS score, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+@query("evidence_modes", [283], """WITH e AS (SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'single' WHEN '2' THEN 'exhaustive' WHEN '3' THEN 'comparative' ELSE 'chronological' END AS mode, l_partkey, l_suppkey % 3 AS doc, l_quantity AS score, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, l_partkey, l_shipdate, doc) AS best, row_number() OVER (PARTITION BY o_orderkey, doc ORDER BY score DESC, l_partkey, l_shipdate) AS of_doc, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate, l_partkey, score, doc) AS early FROM e)
 SELECT o_orderkey, mode, count(*)::BIGINT AS pieces, sum(l_partkey)::BIGINT AS parts FROM r WHERE (mode = 'single' AND best = 1) OR mode = 'exhaustive' OR (mode = 'comparative' AND of_doc = 1) OR (mode = 'chronological' AND early <= 2) GROUP BY ALL""")
 def evidence_modes(spark, sf_dir):
@@ -78,7 +78,7 @@ def scoped_answers(spark, sf_dir):
     return own.select("subject", "scope", F.round(F.col("n") / F.col("total"), 6).alias("share"), action.alias("action"))
 
 
-@query("statement_validation", [291, 363], f"""WITH {PARSED_SQL}, known AS (SELECT subject, kind, count(DISTINCT object_text) AS answers, min(object_text) AS answer FROM parsed WHERE stated_at < TIMESTAMP '2000-01-01' GROUP BY ALL), exact AS (SELECT DISTINCT subject, object_text FROM parsed WHERE stated_at < TIMESTAMP '2000-01-01'), asked AS (SELECT subject, kind, object_text, count(*) AS times FROM parsed WHERE stated_at >= TIMESTAMP '2000-01-01' GROUP BY ALL)
+@query("statement_validation", [291], f"""WITH {PARSED_SQL}, known AS (SELECT subject, kind, count(DISTINCT object_text) AS answers, min(object_text) AS answer FROM parsed WHERE stated_at < TIMESTAMP '2000-01-01' GROUP BY ALL), exact AS (SELECT DISTINCT subject, object_text FROM parsed WHERE stated_at < TIMESTAMP '2000-01-01'), asked AS (SELECT subject, kind, object_text, count(*) AS times FROM parsed WHERE stated_at >= TIMESTAMP '2000-01-01' GROUP BY ALL)
 SELECT CASE WHEN k.subject IS NULL THEN 'NOT_DOCUMENTED' WHEN x.subject IS NOT NULL AND answers = 1 THEN 'CONFIRMED' WHEN x.subject IS NOT NULL THEN 'UNCERTAIN' WHEN answers = 1 THEN 'INCORRECT' ELSE 'UNCERTAIN' END AS status, a.kind, count(*)::BIGINT AS statements, sum(times)::BIGINT AS times
 FROM asked a LEFT JOIN known k ON a.subject = k.subject AND a.kind = k.kind LEFT JOIN exact x ON a.subject = x.subject AND a.object_text = x.object_text GROUP BY 1, 2""")
 def statement_validation(spark, sf_dir):
@@ -123,7 +123,7 @@ def unsupported_tokens(spark, sf_dir):
     return own.select("conv_id", "turn", F.size("w").cast("long").alias("tokens"), missing.cast("long").alias("unsupported"), F.round(share, 6).alias("confidence"))
 
 
-@query("session_references", [292, 365], r"""WITH w AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations), f AS (SELECT conv_id, turn, role, w, list_filter(w, lambda x: length(x) >= 9)[1] AS entity FROM w),
+@query("session_references", [292], r"""WITH w AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations), f AS (SELECT conv_id, turn, role, w, list_filter(w, lambda x: length(x) >= 9)[1] AS entity FROM w),
 b AS (SELECT *, lag(entity) OVER (PARTITION BY conv_id ORDER BY turn, role) AS last_entity, first_value(entity) OVER (PARTITION BY conv_id ORDER BY turn, role) AS first_entity FROM f)
 SELECT conv_id, turn, CASE WHEN len(list_intersect(w[1:6], ['it', 'this', 'that', 'il', 'elle', 'es', 'sie', 'esto'])) > 0 THEN 'pronoun' ELSE 'first' END AS reference, coalesce(CASE WHEN len(list_intersect(w[1:6], ['it', 'this', 'that', 'il', 'elle', 'es', 'sie', 'esto'])) > 0 THEN last_entity ELSE first_entity END, 'unresolved') AS target
 FROM b WHERE turn > 0 AND role = 'user' AND (len(list_intersect(w[1:6], ['it', 'this', 'that', 'il', 'elle', 'es', 'sie', 'esto'])) > 0 OR len(list_intersect(w[1:6], ['first', 'the', 'le', 'der', 'el'])) > 0)""")
@@ -185,7 +185,7 @@ def multi_view_scores(spark, sf_dir):
     return own.select("p_partkey", (F.col("a") == F.col("b")).alias("exact"), F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 6).alias("fuzzy"), F.round(f1, 6).alias("token_f1"))
 
 
-@query("question_anchors", [346, 39], rf"""WITH {IDS_SQL}, d AS (SELECT o_orderkey, unnest(list_distinct(regexp_extract_all(doc_ref, '[0-9]{{2,}}'))) AS anchor FROM ids WHERE NOT starts_with(doc_ref, 'dual') AND NOT starts_with(doc_ref, 'AC')), q AS (SELECT DISTINCT s_suppkey, unnest([(s_suppkey % 200 + 11)::VARCHAR, (s_suppkey % 3 + 11)::VARCHAR]) AS anchor FROM supplier WHERE s_suppkey % 20 = 0),
+@query("question_anchors", [346], rf"""WITH {IDS_SQL}, d AS (SELECT o_orderkey, unnest(list_distinct(regexp_extract_all(doc_ref, '[0-9]{{2,}}'))) AS anchor FROM ids WHERE NOT starts_with(doc_ref, 'dual') AND NOT starts_with(doc_ref, 'AC')), q AS (SELECT DISTINCT s_suppkey, unnest([(s_suppkey % 200 + 11)::VARCHAR, (s_suppkey % 3 + 11)::VARCHAR]) AS anchor FROM supplier WHERE s_suppkey % 20 = 0),
 m AS (SELECT s_suppkey, o_orderkey, count(*) AS hits FROM q JOIN d USING (anchor) GROUP BY ALL) SELECT s_suppkey AS question, o_orderkey AS doc, hits::BIGINT AS hits FROM m QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY hits DESC, o_orderkey) <= 3""")
 def question_anchors(spark, sf_dir):
     """Documents whose ids have a question's structural anchors (numbers), by how many they share; questions are the ids divisible by 20."""

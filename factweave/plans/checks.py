@@ -98,7 +98,7 @@ def concept_budget(spark, sf_dir):
     return own.select("source", "sections", "budget", "largest", F.round(share, 6).alias("promoted"), F.when(share > 0.8, "iterate").otherwise("saturated").alias("state"))
 
 
-@query("concept_quality", [350, 352, 364], f"""WITH {OFFERS_SQL}, c AS (SELECT subject, count(*) AS n, count(DISTINCT source_doc % 3) AS langs, count(DISTINCT claim_type) AS kinds, avg(1 - hedge) AS trust, min(claim_id % 2) AS defined FROM offers GROUP BY subject)
+@query("concept_quality", [350, 364], f"""WITH {OFFERS_SQL}, c AS (SELECT subject, count(*) AS n, count(DISTINCT source_doc % 3) AS langs, count(DISTINCT claim_type) AS kinds, avg(1 - hedge) AS trust, min(claim_id % 2) AS defined FROM offers GROUP BY subject)
 SELECT subject, round((CASE WHEN n >= 30 THEN 0.3 WHEN n >= 20 THEN 0.2 ELSE 0.1 END + CASE WHEN langs >= 3 THEN 0.2 WHEN langs = 2 THEN 0.15 ELSE 0 END + CASE WHEN defined = 0 THEN 0.2 ELSE 0 END + CASE WHEN kinds >= 3 THEN 0.15 ELSE 0 END + 0.15)::DOUBLE, 6) AS quality, CASE WHEN trust >= 0.95 AND langs >= 2 THEN 'solid' WHEN trust >= 0.9 THEN 'fair' ELSE 'weak' END AS solidity FROM c""")
 def concept_quality(spark, sf_dir):
     """A concept's quality from support, languages, definition and relations, and how solid its proof is."""
@@ -210,7 +210,7 @@ def array_functions(spark, sf_dir):
     return own.select("l_orderkey", F.size("q").cast("long").alias("n"), F.col("q")[0].alias("head"), F.exists("q", lambda x: x > 45).alias("any_large"), F.forall("q", lambda x: x > 5).alias("all_above"), squares.alias("squares"))
 
 
-@query("trace_spans", [305, 319], """WITH s AS (SELECT user_id, event_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS trace FROM events)
+@query("trace_spans", [305], """WITH s AS (SELECT user_id, event_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS trace FROM events)
 SELECT user_id, trace::BIGINT AS trace, count(*)::BIGINT AS spans, bool_or(event_type = 'error') AS failed, round(sum(date_diff('microsecond', ts, coalesce(until, ts)))::DOUBLE / 1e6, 3) AS seconds FROM s GROUP BY user_id, trace""")
 def trace_spans(spark, sf_dir):
     """Spans under the trace that is open for a user: number, duration, and whether one failed."""

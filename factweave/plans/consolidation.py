@@ -35,7 +35,7 @@ def claim_consolidation(spark, sf_dir):
     return own.select(key.alias("canonical_id"), "claims", "docs", maturity.alias("maturity"))
 
 
-@query("relation_consolidation", [77, 98], f"""WITH {OFFERS_SQL}, t AS (SELECT subject, claim_type, count(*) AS n FROM offers GROUP BY ALL),
+@query("relation_consolidation", [77], f"""WITH {OFFERS_SQL}, t AS (SELECT subject, claim_type, count(*) AS n FROM offers GROUP BY ALL),
 r AS (SELECT subject, claim_type, n, sum(n) OVER (PARTITION BY subject) AS total, row_number() OVER (PARTITION BY subject ORDER BY n DESC, claim_type) AS rn,
   n - lead(n, 1, 0) OVER (PARTITION BY subject ORDER BY n DESC, claim_type) AS gap FROM t)
 SELECT subject, claim_type, round(n::DOUBLE / total, 6) AS share, CASE WHEN gap::DOUBLE / total < 0.15 THEN 'AMBIGUOUS_TYPE' WHEN n >= 2 THEN 'VALIDATED' ELSE 'CANDIDATE' END AS state FROM r WHERE rn = 1""")
@@ -96,7 +96,7 @@ def evidence_tiers(spark, sf_dir):
     return own.select(tier.alias("tier"), strength.alias("s")).groupBy("tier").agg(F.count("*").alias("subjects"), F.round(F.avg("s"), 6).alias("strength"))
 
 
-@query("promotion_grades", [79, 351, 357], f"""WITH {OFFERS_SQL}, g AS (SELECT subject, count(*) AS support, count(DISTINCT source_doc) AS docs, count(DISTINCT claim_type) AS kinds, median(hedge) AS hedge FROM offers GROUP BY subject)
+@query("promotion_grades", [79], f"""WITH {OFFERS_SQL}, g AS (SELECT subject, count(*) AS support, count(DISTINCT source_doc) AS docs, count(DISTINCT claim_type) AS kinds, median(hedge) AS hedge FROM offers GROUP BY subject)
 SELECT subject, CASE WHEN support < 5 THEN 'rejected' WHEN docs >= 10 AND kinds >= 3 AND hedge <= 0.05 THEN 'strict' WHEN docs >= 5 AND kinds >= 2 THEN 'extended' ELSE 'kept' END AS grade, round(hedge, 6) AS hedge FROM g""")
 def promotion_grades(spark, sf_dir):
     own = offers(spark, sf_dir).groupBy("subject").agg(
@@ -128,7 +128,7 @@ def polarity_conflicts(spark, sf_dir):
     return own.filter("for_docs > 0 and against_docs > 0")
 
 
-@query("signature_comparison", [70, 241, 237], f"""WITH {OFFERS_SQL}, v AS (SELECT subject, source_doc, round(value, 0) AS v, scope, lag(round(value, 0)) OVER w AS pv, lag(source_doc) OVER w AS pd, claim_id
+@query("signature_comparison", [70, 241], f"""WITH {OFFERS_SQL}, v AS (SELECT subject, source_doc, round(value, 0) AS v, scope, lag(round(value, 0)) OVER w AS pv, lag(source_doc) OVER w AS pd, claim_id
   FROM offers WINDOW w AS (PARTITION BY subject, claim_type ORDER BY stated_at, claim_id, source_doc, value))
 SELECT CASE WHEN v = pv AND source_doc = pd THEN 'AGREEMENT' WHEN v = pv THEN 'CONVERGENCE' WHEN source_doc = pd THEN 'CONTRADICTION' ELSE 'EVOLUTION' END AS relation, count(*)::BIGINT AS pairs
 FROM v WHERE pv IS NOT NULL GROUP BY 1""")
@@ -142,7 +142,7 @@ def signature_comparison(spark, sf_dir):
     return own.groupBy(relation.alias("relation")).agg(F.count("*").alias("pairs"))
 
 
-@query("value_tolerance", [231, 235, 149], f"""WITH {OFFERS_SQL}, m AS (SELECT subject, avg(value) AS ref FROM offers GROUP BY subject)
+@query("value_tolerance", [235], f"""WITH {OFFERS_SQL}, m AS (SELECT subject, avg(value) AS ref FROM offers GROUP BY subject)
 SELECT verdict, count(*)::BIGINT AS claims FROM (SELECT CASE WHEN abs(value - ref) <= least(0.02 * (1 + 0.5 * hedge), 0.1) * ref THEN 'SUPPORTS' WHEN abs(value - ref) <= 0.5 * ref THEN 'PARTIAL' ELSE 'CONTRADICTS' END AS verdict
   FROM offers JOIN m USING (subject)) GROUP BY verdict""")
 def value_tolerance(spark, sf_dir):
@@ -155,7 +155,7 @@ def value_tolerance(spark, sf_dir):
     return both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("claims"))
 
 
-@query("marker_diff", [91, 130], """WITH m AS (SELECT l_partkey AS marker, bool_or(l_shipmode_a) AS a, bool_or(l_shipmode_b) AS b FROM (
+@query("marker_diff", [130], """WITH m AS (SELECT l_partkey AS marker, bool_or(l_shipmode_a) AS a, bool_or(l_shipmode_b) AS b FROM (
   SELECT l_partkey, l_returnflag = 'A' AS l_shipmode_a, l_returnflag = 'R' AS l_shipmode_b FROM lineitem) GROUP BY 1)
 SELECT marker, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only A' ELSE 'only R' END AS side FROM m WHERE a OR b""")
 def marker_diff(spark, sf_dir):
@@ -164,7 +164,7 @@ def marker_diff(spark, sf_dir):
     return sides.select("marker", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "only A").otherwise("only R").alias("side"))
 
 
-@query("claim_evolution", [131, 137], """WITH s AS (SELECT o_custkey AS doc, l_partkey AS key, l_quantity AS object, o_orderdate < TIMESTAMP '1996-01-01' AS old, row_number() OVER (PARTITION BY o_custkey, l_partkey, l_quantity, o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderkey, l_linenumber) AS i
+@query("claim_evolution", [131], """WITH s AS (SELECT o_custkey AS doc, l_partkey AS key, l_quantity AS object, o_orderdate < TIMESTAMP '1996-01-01' AS old, row_number() OVER (PARTITION BY o_custkey, l_partkey, l_quantity, o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderkey, l_linenumber) AS i
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT change, count(*)::BIGINT AS claims FROM (SELECT CASE WHEN a.doc IS NOT NULL AND b.doc IS NOT NULL THEN 'UNCHANGED' WHEN a.doc IS NOT NULL THEN 'REMOVED' ELSE 'ADDED' END AS change
   FROM (SELECT * FROM s WHERE old) a FULL JOIN (SELECT * FROM s WHERE NOT old) b ON a.doc = b.doc AND a.key = b.key AND a.object = b.object AND a.i = b.i) GROUP BY change""")
@@ -201,7 +201,7 @@ def bubble_metrics(spark, sf_dir):
     return own.filter("claims >= 3")
 
 
-@query("epistemic_state", [97, 281, 285], f"""WITH {OFFERS_SQL}, g AS (SELECT subject, count(DISTINCT claim_type) AS kinds, count(DISTINCT source_doc) AS docs, stddev_pop(value) / avg(value) AS cv FROM offers GROUP BY subject)
+@query("epistemic_state", [97, 281], f"""WITH {OFFERS_SQL}, g AS (SELECT subject, count(DISTINCT claim_type) AS kinds, count(DISTINCT source_doc) AS docs, stddev_pop(value) / avg(value) AS cv FROM offers GROUP BY subject)
 SELECT state, count(*)::BIGINT AS subjects FROM (SELECT CASE WHEN docs = 1 THEN 'ORPHAN' WHEN cv > 0.5 THEN 'CONTESTED' WHEN kinds >= 3 AND docs >= 10 THEN 'ESTABLISHED' ELSE 'EMERGING' END AS state FROM g) GROUP BY state""")
 def epistemic_state(spark, sf_dir):
     own = offers(spark, sf_dir).groupBy("subject").agg(
@@ -211,7 +211,7 @@ def epistemic_state(spark, sf_dir):
     return own.groupBy(state.alias("state")).agg(F.count("*").alias("subjects"))
 
 
-@query("label_metrics", [96, 321, 322, 323], """WITH p AS (SELECT doc_id, toxic = 1 AS truth, len(regexp_extract_all(lower(text), 'stupid|worthless|idiot|hate')) > 0 AS said FROM documents JOIN labels USING (doc_id)),
+@query("label_metrics", [96, 322], """WITH p AS (SELECT doc_id, toxic = 1 AS truth, len(regexp_extract_all(lower(text), 'stupid|worthless|idiot|hate')) > 0 AS said FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT count(*) FILTER (WHERE truth AND said) AS tp, count(*) FILTER (WHERE NOT truth AND said) AS fp, count(*) FILTER (WHERE truth AND NOT said) AS fn FROM p)
 SELECT round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
 def label_metrics(spark, sf_dir):

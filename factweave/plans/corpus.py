@@ -12,7 +12,7 @@ from ..sources.views import CLAIMS_SQL, TOKENS_SQL, claims, tokens
 from .registry import query
 
 
-@query("inverse_document_frequency", [87, 101], f"""WITH {TOKENS_SQL}
+@query("inverse_document_frequency", [87], f"""WITH {TOKENS_SQL}
 SELECT token, count(DISTINCT doc_id)::BIGINT AS df, round(ln((SELECT count(*) FROM documents) / count(DISTINCT doc_id)::DOUBLE), 6) AS idf
 FROM tokens GROUP BY token""")
 def inverse_document_frequency(spark, sf_dir):
@@ -58,7 +58,7 @@ def content_fingerprints(spark, sf_dir):
     return claims(spark, sf_dir).select("doc_id", "pos", section.alias("section_id"), F.sha2(key, 256).alias("fingerprint"))
 
 
-@query("template_lines", [145, 177], """WITH l AS (
+@query("template_lines", [145], """WITH l AS (
   SELECT doc_id, source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
 SELECT source, line, count(DISTINCT doc_id)::BIGINT AS docs FROM l WHERE length(line) >= 20
 GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3""")
@@ -88,7 +88,7 @@ def claim_quality_filter(spark, sf_dir):
     return claims(spark, sf_dir).select("doc_id", "pos", verdict.alias("verdict"))
 
 
-@query("relation_likelihood", [182, 218], """WITH m AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '[^ \n]+')), 1) AS words,
+@query("relation_likelihood", [182], """WITH m AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '[^ \n]+')), 1) AS words,
   len(regexp_extract_all(lower(text), '\\b(is|are|was|be|have|has|est|sont|ist|sind)\\b')) AS verbs, len(regexp_extract_all(text, '[.;:]')) AS punct,
   len(regexp_extract_all(text, '[.!?]')) AS sents, len(regexp_extract_all(text, '[|*#]')) AS marks FROM documents),
 s AS (SELECT doc_id, least(greatest(0.35 * least(verbs * 20.0 / words, 1) + 0.25 * least(punct * 10.0 / words, 1) + 0.2 * least(sents * 10.0 / words, 1) - 0.6 * least(marks * 1.0 / words, 1), 0), 1) AS score FROM m)
@@ -105,7 +105,7 @@ def relation_likelihood(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", score.alias("score")).select("doc_id", F.round("score", 6).alias("score"), tier.alias("tier"))
 
 
-@query("parse_confidence", [180, 183], """SELECT doc_id, round((0.2 * least(length(text) / 1000.0, 1) + 0.25 * CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END
+@query("parse_confidence", [180], """SELECT doc_id, round((0.2 * least(length(text) / 1000.0, 1) + 0.25 * CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END
   + 0.2 * (1 - least(len(regexp_extract_all(text, '[|#$%&*]')) * 10.0 / greatest(length(text), 1), 1)) + 0.35 * least(len(regexp_extract_all(text, '[.!?]')) / 5.0, 1))::DOUBLE, 5) AS confidence FROM documents""")
 def parse_confidence(spark, sf_dir):
     text = F.col("text")
@@ -115,7 +115,7 @@ def parse_confidence(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(parts, 5).alias("confidence"))
 
 
-@query("fixed_chunks", [173, 174], """SELECT lang, count(*)::BIGINT AS chunks, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest FROM (
+@query("fixed_chunks", [174], """SELECT lang, count(*)::BIGINT AS chunks, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest FROM (
   SELECT lang, length(substr(text, 1 + i * 1300, 1500)) AS n FROM (SELECT lang, text, unnest(range(0, greatest(1, ceil((length(text) - 200) / 1300.0))::BIGINT)) AS i FROM documents)) GROUP BY lang""")
 def fixed_chunks(spark, sf_dir):
     """Chunks of 1500 characters that overlap by 200."""
@@ -140,17 +140,17 @@ def corpus_audit(spark, sf_dir):
     return own.select("lang", "docs", "claims", share(F.col("figures"), F.col("claims")).alias("figure_share"), F.round(1 - F.col("different") / F.col("claims"), 6).alias("repeat_share"))
 
 
-@query("token_co_occurrence", [266, 263], f"""WITH {TOKENS_SQL}, t AS (SELECT DISTINCT source, token FROM tokens WHERE length(token) >= 8),
+@query("token_co_occurrence", [266], f"""WITH {TOKENS_SQL}, t AS (SELECT DISTINCT source, token FROM tokens WHERE length(token) >= 8),
 k AS (SELECT token FROM t GROUP BY token HAVING count(*) BETWEEN 2 AND 4), o AS (SELECT source, token FROM t JOIN k USING (token))
 SELECT a.token AS a, b.token AS b, count(*)::BIGINT AS groups FROM o a JOIN o b ON a.source = b.source AND a.token < b.token GROUP BY ALL HAVING count(*) >= 3""")
 def token_co_occurrence(spark, sf_dir):
-    """Rare long tokens that occur in the same sources; tokens of one source only and of many are left out first."""
-    own = tokens(spark, sf_dir).filter(F.length("token") >= 8).select("source", "token").distinct()
-    rare = own.groupBy("token").agg(F.count("*").alias("n")).filter("n between 2 and 4").select("token")
-    return lexical.co_occurrence(own.join(rare, "token"), "source", "token").filter("groups >= 3")
+    """Rare long tokens that occur in the same sources: two that share three of the two to four that each may have. Words in any number
+    of documents take part in window_co_occurrence."""
+    own = tokens(spark, sf_dir).filter(F.length("token") >= 8).select("source", "token")
+    return lexical.co_occurrence_of_rare(own, "source", "token", 3, 4)
 
 
-@query("dominant_language_terms", [195, 364], f"""WITH {TOKENS_SQL}, c AS (SELECT lang, token, count(*) AS n FROM tokens GROUP BY ALL)
+@query("dominant_language_terms", [87], f"""WITH {TOKENS_SQL}, c AS (SELECT lang, token, count(*) AS n FROM tokens GROUP BY ALL)
 SELECT lang, token, n::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) <= 20""")
 def dominant_language_terms(spark, sf_dir):
     counts = tokens(spark, sf_dir).groupBy("lang", "token").agg(F.count("*").alias("n"))

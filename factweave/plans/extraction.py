@@ -10,7 +10,7 @@ from ..sources.views import CLAIMS_SQL, claims
 from .registry import query
 
 
-@query("pii_redaction", [196, 197], r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
+@query("pii_redaction", [196], r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
   '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[IP]', 'g'),
   '\+?[0-9][0-9 ()-]{7,}[0-9]', '[PHONE]', 'g') AS redacted FROM documents""")
 def pii_redaction(spark, sf_dir):
@@ -35,7 +35,7 @@ def number_parse(spark, sf_dir):
     return own.select("doc_id", "pos", F.round(F.replace("num", F.lit(","), F.lit(".")).cast("double"), 6).alias("value"), kind.alias("kind"))
 
 
-@query("value_frames", [204, 205, 208], r"""SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#[0-9]+') THEN 'VERSION' ELSE 'TEXT' END AS kind,
+@query("value_frames", [204, 205], r"""SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#[0-9]+') THEN 'VERSION' ELSE 'TEXT' END AS kind,
   coalesce(TRY_CAST(regexp_extract(p_brand, '#([0-9])', 1) AS BIGINT), -1) AS major, coalesce(TRY_CAST(regexp_extract(p_brand, '#[0-9]([0-9])', 1) AS BIGINT), -1) AS minor FROM part""")
 def value_frames(spark, sf_dir):
     part = lambda pattern: F.coalesce(F.regexp_extract("p_brand", pattern, 1).try_cast("long"), F.lit(-1))
@@ -43,7 +43,7 @@ def value_frames(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), part("#([0-9])").alias("major"), part("#[0-9]([0-9])").alias("minor"))
 
 
-@query("modality_and_negation", [209, 223, 216], rf"""WITH {CLAIMS_SQL}, l AS (SELECT doc_id, pos, lower(claim_text) AS t FROM claims)
+@query("modality_and_negation", [209, 223], rf"""WITH {CLAIMS_SQL}, l AS (SELECT doc_id, pos, lower(claim_text) AS t FROM claims)
 SELECT doc_id, pos::BIGINT AS pos, CASE WHEN regexp_matches(t, '\b(must not|shall not|may not)\b') THEN 'prohibited' WHEN regexp_matches(t, '\b(must|shall|required|doit|muss)\b') THEN 'required'
   WHEN regexp_matches(t, '\b(should|recommended|devrait|soll)\b') THEN 'recommended' WHEN regexp_matches(t, '\b(may|can|peut|kann)\b') THEN 'allowed' ELSE 'stated' END AS modality,
   len(regexp_extract_all(t, '\b(not|no|never|ne|pas|nicht|kein)\b')) % 2 = 1 AS negated FROM l""")
@@ -73,7 +73,7 @@ def identifier_tokens(spark, sf_dir):
     return own.agg(F.count("*").alias("identifiers"), F.countDistinct("token").alias("different"), F.sum(weight).alias("weight"))
 
 
-@query("entity_surfaces", [220, 222, 365], r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,5}\b')) AS surface FROM documents)
+@query("entity_surfaces", [220], r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,5}\b')) AS surface FROM documents)
 SELECT surface, count(DISTINCT doc_id)::BIGINT AS docs, count(*)::BIGINT AS mentions, CASE WHEN regexp_matches(surface, '^[A-Z]{2,5}$') THEN 'acronym' ELSE 'name' END AS kind
 FROM t WHERE length(surface) <= 80 GROUP BY surface HAVING count(DISTINCT doc_id) >= 2""")
 def entity_surfaces(spark, sf_dir):
@@ -83,7 +83,7 @@ def entity_surfaces(spark, sf_dir):
     return own.withColumn("kind", F.when(F.col("surface").rlike("^[A-Z]{2,5}$"), "acronym").otherwise("name"))
 
 
-@query("comparability_gate", [42, 240, 239], rf"""WITH {CLAIMS_SQL}, m AS (SELECT doc_id, pos, len(regexp_extract_all(claim_text, '[0-9]+')) AS strong,
+@query("comparability_gate", [42], rf"""WITH {CLAIMS_SQL}, m AS (SELECT doc_id, pos, len(regexp_extract_all(claim_text, '[0-9]+')) AS strong,
   len(regexp_extract_all(lower(claim_text), '\b(than|more|less|plus|moins|mehr|weniger)\b')) AS weak FROM claims)
 SELECT doc_id, pos::BIGINT AS pos, CASE WHEN strong >= 1 THEN 'accept' WHEN weak >= 2 THEN 'accept' WHEN weak = 1 THEN 'uncertain' ELSE 'reject' END AS verdict FROM m""")
 def comparability_gate(spark, sf_dir):
@@ -93,7 +93,7 @@ def comparability_gate(spark, sf_dir):
     return claims(spark, sf_dir).select("doc_id", "pos", verdict.alias("verdict"))
 
 
-@query("answer_segmentation", [201, 293], r"""WITH s AS (SELECT conv_id, turn, role, trim(unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]?'))) AS part FROM conversations)
+@query("answer_segmentation", [201], r"""WITH s AS (SELECT conv_id, turn, role, trim(unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]?'))) AS part FROM conversations)
 SELECT conv_id, turn, count(*)::BIGINT AS parts, count(*) FILTER (WHERE regexp_matches(part, '[0-9]'))::BIGINT AS figures, max(length(part))::BIGINT AS longest
 FROM s WHERE length(part) >= 10 GROUP BY conv_id, turn""")
 def answer_segmentation(spark, sf_dir):
@@ -102,7 +102,7 @@ def answer_segmentation(spark, sf_dir):
     return own.agg(F.count("*").alias("parts"), F.count_if(F.col("part").rlike("[0-9]")).alias("figures"), F.max(F.length("part")).cast("long").alias("longest"))
 
 
-@query("page_hosts_and_titles", [4, 20, 23, 212], r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang,
+@query("page_hosts_and_titles", [23], r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang,
   regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages""")
 def page_hosts_and_titles(spark, sf_dir):
     pick = lambda column, pattern: F.regexp_extract(column, pattern, 1)

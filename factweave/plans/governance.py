@@ -101,7 +101,7 @@ def trace_sampling(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", ((F.col("event_type") == "error") | (bucket < 500)).alias("traced"))
 
 
-@query("budget_tracker", [304, 355], """SELECT event_id, CASE WHEN s > 1000 THEN 'hard' WHEN s > 500 THEN 'soft' ELSE 'ok' END AS state FROM (
+@query("budget_tracker", [304], """SELECT event_id, CASE WHEN s > 1000 THEN 'hard' WHEN s > 500 THEN 'soft' ELSE 'ok' END AS state FROM (
   SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS s FROM events)""")
 def budget_tracker(spark, sf_dir):
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,7 +118,7 @@ def usage_rollup(spark, sf_dir):
     return own.select(F.coalesce("event_type", F.lit("*")).alias("task"), "calls", "cost")
 
 
-@query("sessions", [292, 305], """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+@query("sessions", [303], """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, session::BIGINT AS session, count(*)::BIGINT AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins FROM s GROUP BY user_id, session""")
 def sessions(spark, sf_dir):
@@ -129,7 +129,7 @@ def sessions(spark, sf_dir):
     return own.groupBy("user_id", "session").agg(F.count("*").alias("events"), minute(F.min("ts")).alias("begins"))
 
 
-@query("job_states", [306, 308, 319], """SELECT user_id, max(struct_pack(t := ts, i := event_id, s := event_type)).s AS state, count(*)::BIGINT AS steps, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS failures FROM events GROUP BY user_id""")
+@query("job_states", [306, 308], """SELECT user_id, max(struct_pack(t := ts, i := event_id, s := event_type)).s AS state, count(*)::BIGINT AS steps, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS failures FROM events GROUP BY user_id""")
 def job_states(spark, sf_dir):
     own = read(spark, sf_dir, "events").groupBy("user_id")
     return own.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("steps"), F.count_if(F.col("event_type") == "error").alias("failures"))

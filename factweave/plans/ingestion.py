@@ -12,14 +12,14 @@ from ..sources.views import CLAIMS_SQL, claims
 from .registry import query
 
 
-@query("file_router", [1, 20], """SELECT CASE WHEN regexp_matches(url, '\\.html?([?#]|$)') THEN 'html' WHEN regexp_matches(url, '\\.pdf([?#]|$)') THEN 'pdf' WHEN contains(url, '?') THEN 'query' ELSE 'folder' END AS loader, count(*)::BIGINT AS files FROM pages GROUP BY 1""")
+@query("file_router", [1], """SELECT CASE WHEN regexp_matches(url, '\\.html?([?#]|$)') THEN 'html' WHEN regexp_matches(url, '\\.pdf([?#]|$)') THEN 'pdf' WHEN contains(url, '?') THEN 'query' ELSE 'folder' END AS loader, count(*)::BIGINT AS files FROM pages GROUP BY 1""")
 def file_router(spark, sf_dir):
     url = F.col("url")
     loader = F.when(url.rlike(r"\.html?([?#]|$)"), "html").when(url.rlike(r"\.pdf([?#]|$)"), "pdf").when(F.contains(url, F.lit("?")), "query").otherwise("folder")
     return read(spark, sf_dir, "pages").groupBy(loader.alias("loader")).agg(F.count("*").alias("files"))
 
 
-@query("extraction_cache", [10, 156], """SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY sha256(text)) AS cached FROM documents""")
+@query("extraction_cache", [10], """SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY sha256(text)) AS cached FROM documents""")
 def extraction_cache(spark, sf_dir):
     """A document whose content came earlier needs no extraction: the first of each content hash is an aggregate, joined back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
@@ -44,7 +44,7 @@ def vector_upsert(spark, sf_dir):
     return storage.delete_where(storage.upsert(rows, new, ["vec_id"], "version"), gone, "vec_id").groupBy("label").agg(F.count("*").alias("vectors"))
 
 
-@query("property_merge", [16, 18], """SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment || '+' END, c_mktsegment) AS segment, c_nationkey FROM customer""")
+@query("property_merge", [16], """SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment || '+' END, c_mktsegment) AS segment, c_nationkey FROM customer""")
 def property_merge(spark, sf_dir):
     old = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), "c_nationkey")
     new = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey", F.concat("c_mktsegment", F.lit("+")).alias("segment"), F.lit(None).cast("int").alias("c_nationkey"))
@@ -61,7 +61,7 @@ def json_trace_sink(spark, sf_dir):
     return lines.groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("total"))
 
 
-@query("page_items", [5, 6, 23, 179], r"""WITH i AS (SELECT page_id, generate_subscripts(m, 1) AS pos, unnest(m) AS item FROM (SELECT page_id, regexp_extract_all(html, '<(?:p|h1|li)>[^<]*') AS m FROM pages))
+@query("page_items", [23], r"""WITH i AS (SELECT page_id, generate_subscripts(m, 1) AS pos, unnest(m) AS item FROM (SELECT page_id, regexp_extract_all(html, '<(?:p|h1|li)>[^<]*') AS m FROM pages))
 SELECT page_id, count(*)::BIGINT AS items, count(*) FILTER (WHERE starts_with(item, '<h1>'))::BIGINT AS titles, max(length(item))::BIGINT AS longest FROM i GROUP BY page_id""")
 def page_items(spark, sf_dir):
     found = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(?:p|h1|li)>[^<]*"), F.lit(0))).alias("item"))
@@ -69,7 +69,7 @@ def page_items(spark, sf_dir):
     return own.agg(F.count("*").alias("items"), F.count_if(F.startswith("item", F.lit("<h1>"))).alias("titles"), F.max(F.length("item")).cast("long").alias("longest"))
 
 
-@query("section_profiles", [171, 172, 181], """WITH l AS (SELECT doc_id, generate_subscripts(m, 1) AS pos, unnest(m) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS m FROM documents)),
+@query("section_profiles", [172], """WITH l AS (SELECT doc_id, generate_subscripts(m, 1) AS pos, unnest(m) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS m FROM documents)),
 s AS (SELECT doc_id, line, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
 SELECT doc_id, section::BIGINT AS section, count(*)::BIGINT AS lines, sum(length(line))::BIGINT AS chars, round(avg(CASE WHEN contains(line, '|') THEN 1.0 ELSE 0.0 END), 6) AS tables FROM s GROUP BY doc_id, section""")
 def section_profiles(spark, sf_dir):
@@ -81,7 +81,7 @@ def section_profiles(spark, sf_dir):
     return own.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), tables.alias("tables"))
 
 
-@query("verbatim_validation", [62, 190, 191, 193, 358], rf"""WITH {CLAIMS_SQL}
+@query("verbatim_validation", [62, 190, 358], rf"""WITH {CLAIMS_SQL}
 SELECT doc_id, pos::BIGINT AS pos, strpos(text, claim_text)::BIGINT AS char_start, (length(text) - length(replace(text, claim_text, ''))) // length(claim_text) AS occurrences, length(claim_text) BETWEEN 10 AND 1000 AS valid_length
 FROM claims JOIN documents USING (doc_id)""")
 def verbatim_validation(spark, sf_dir):
@@ -93,7 +93,7 @@ def verbatim_validation(spark, sf_dir):
     return own.select("doc_id", F.col("pos").cast("long").alias("pos"), F.instr("text", F.col("claim_text")).cast("long").alias("char_start"), times.alias("occurrences"), F.length("claim_text").between(10, 1000).alias("valid_length"))
 
 
-@query("trigger_ngrams", [198, 210], r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, lang, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)),
+@query("trigger_ngrams", [198], r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, lang, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)),
 n AS (SELECT lang, count(*) AS docs FROM documents GROUP BY lang)
 SELECT lang, gram, count(*)::BIGINT AS docs FROM g JOIN n USING (lang) GROUP BY lang, gram, n.docs HAVING count(*) BETWEEN 0.3 * n.docs AND 0.7 * n.docs AND count(*) >= 5""")
 def trigger_ngrams(spark, sf_dir):
@@ -106,7 +106,7 @@ def trigger_ngrams(spark, sf_dir):
     return counts.join(F.broadcast(totals), "lang").filter("docs between 0.3 * n and 0.7 * n and docs >= 5").select("lang", "gram", "docs")
 
 
-@query("pattern_mining", [352, 353, 359], f"""WITH {CLAIMS_SQL}, w AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(claim_text), '[a-z]{{7,}}')) AS concept FROM claims)
+@query("pattern_mining", [353], f"""WITH {CLAIMS_SQL}, w AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(claim_text), '[a-z]{{7,}}')) AS concept FROM claims)
 SELECT concept, count(*)::BIGINT AS docs, count(DISTINCT source)::BIGINT AS sources, count(DISTINCT source) >= 5 AS bridge FROM w GROUP BY concept HAVING count(*) >= 10""")
 def pattern_mining(spark, sf_dir):
     """Concepts that recur in many documents, and those that bridge sources."""
@@ -125,7 +125,7 @@ def acronym_map(spark, sf_dir):
     return names.groupBy(initials.alias("acronym")).agg(F.count("*").alias("mentions"), F.countDistinct("name").alias("expansions"))
 
 
-@query("text_measures", [224, 226, 227], """SELECT doc_id, length(text)::BIGINT AS chars, len(regexp_extract_all(text, '[^ \n]+'))::BIGINT AS words, round(sqrt(length(text)) + log2(1 + length(text)), 6) AS measure, upper(substr(text, 1, 3)) AS head FROM documents""")
+@query("text_measures", [224, 226], """SELECT doc_id, length(text)::BIGINT AS chars, len(regexp_extract_all(text, '[^ \n]+'))::BIGINT AS words, round(sqrt(length(text)) + log2(1 + length(text)), 6) AS measure, upper(substr(text, 1, 3)) AS head FROM documents""")
 def text_measures(spark, sf_dir):
     """Sizes, words, a measure and the head of a text in upper case, letter by letter: ß becomes ẞ, not two letters."""
     size = F.length("text")

@@ -38,7 +38,7 @@ def axes(spark, sf_dir):
     return parts.select(pairs.alias("p")).select("p.axis", "p.value").distinct()
 
 
-@query("axis_value_orders", [127, 214], f"""WITH {AXES_SQL}, n AS (SELECT axis, count(*) AS n FROM axes GROUP BY axis), k AS (SELECT axis, value, split_part(axis, ' ', 1) AS kind, CASE split_part(axis, ' ', 1)
+@query("axis_value_orders", [127], f"""WITH {AXES_SQL}, n AS (SELECT axis, count(*) AS n FROM axes GROUP BY axis), k AS (SELECT axis, value, split_part(axis, ' ', 1) AS kind, CASE split_part(axis, ' ', 1)
    WHEN 'release' THEN split_part(value, '.', 1)::DOUBLE * 1e12 + split_part(value, '.', 2)::DOUBLE * 1e6 + coalesce(TRY_CAST(split_part(value, '.', 3) AS DOUBLE), 0) WHEN 'year' THEN value::DOUBLE
    WHEN 'pack' THEN split_part(value, ' ', 1)::DOUBLE * 1000 + coalesce(TRY_CAST(replace(split_part(value, ' ', 2), 'FPS', '') AS DOUBLE), 0) WHEN 'part' THEN value::DOUBLE
    WHEN 'chapter' THEN list_position(['I', 'II', 'III', 'IV', 'V', 'VI'], value)::DOUBLE WHEN 'issue' THEN list_position(['first', 'second', 'third', 'fourth'], lower(value))::DOUBLE
@@ -70,7 +70,7 @@ LINEAGE_SQL = rf"""{REVISIONS_SQL}, fam AS (SELECT *, CASE WHEN regexp_matches(r
 pair AS (SELECT doc AS older, lead(doc) OVER w AS newer, rev, lead(rev) OVER w AS next_rev, issued, lead(issued) OVER w AS next_issued, base FROM fam WINDOW w AS (PARTITION BY base, authority ORDER BY rev, issued, doc))"""
 
 
-@query("revision_lineage", [128, 246, 219], f"""WITH {LINEAGE_SQL} SELECT newer, older, base, rev, next_rev, 0.85::DOUBLE AS confidence FROM pair WHERE newer IS NOT NULL AND next_rev > rev AND next_issued > issued""")
+@query("revision_lineage", [128, 246], f"""WITH {LINEAGE_SQL} SELECT newer, older, base, rev, next_rev, 0.85::DOUBLE AS confidence FROM pair WHERE newer IS NOT NULL AND next_rev > rev AND next_issued > issued""")
 def revision_lineage(spark, sf_dir):
     """Adjacent revisions of one base and authority: the later supersedes if letter and date agree."""
     return lineage_pairs(spark, sf_dir).select("newer", "older", "base", "rev", "next_rev", F.lit(0.85).alias("confidence"))

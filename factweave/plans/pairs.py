@@ -91,7 +91,7 @@ def signal_pairs(spark, sf_dir):
     return near.select("a", "b", F.round(score, 6).alias("score")).filter("score >= 0.55")
 
 
-@query("entity_mentions", [61, 348], rf"""WITH {CLAIMS_SQL}, e AS (SELECT item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[1:2] AS w FROM benchmark), n AS (SELECT item_id, w[1] || ' ' || w[2] AS raw, lower(w[1] || ' ' || w[2]) AS norm, lower(w[2] || ' ' || w[1]) AS alias FROM e WHERE len(w) = 2),
+@query("entity_mentions", [61], rf"""WITH {CLAIMS_SQL}, e AS (SELECT item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[1:2] AS w FROM benchmark), n AS (SELECT item_id, w[1] || ' ' || w[2] AS raw, lower(w[1] || ' ' || w[2]) AS norm, lower(w[2] || ' ' || w[1]) AS alias FROM e WHERE len(w) = 2),
 g AS (SELECT doc_id, pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, pos, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, pos, regexp_extract_all(claim_text, '[\p{{L}}\p{{N}}]+') AS w FROM claims) WHERE len(w) >= 2)),
 m AS (SELECT doc_id, pos, item_id, CASE WHEN gram = raw THEN 1.0 ELSE 0.9 END AS confidence FROM g JOIN n ON lower(gram) = norm UNION ALL SELECT doc_id, pos, item_id, 0.8 FROM g JOIN n ON lower(gram) = alias)
 SELECT doc_id, pos::BIGINT AS pos, item_id, max(confidence)::DOUBLE AS confidence FROM m GROUP BY ALL""")

@@ -44,7 +44,7 @@ def hybrid_search(spark, sf_dir):
     return lexical.reciprocal_rank_fusion([lex, dense], "id", k).select("id", F.round("rrf", 8).alias("rrf"))
 
 
-@query("top_k_per_group", [104, 116], """SELECT source, doc_id, n_chars FROM documents
+@query("top_k_per_group", [104], """SELECT source, doc_id, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5""")
 def top_k_per_group(spark, sf_dir):
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
@@ -75,7 +75,7 @@ GRAMS_SQL = """SELECT DISTINCT {id}, array_to_string(w[i:i+7], ' ') AS gram FROM
   SELECT {id}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {table}) WHERE len(w) >= 8)"""
 
 
-@query("quote_containment", [61, 63, 192, 369], f"""WITH d AS ({GRAMS_SQL.format(id='doc_id', table='documents')}), q AS ({GRAMS_SQL.format(id='item_id', table='benchmark')}),
+@query("quote_containment", [192, 369], f"""WITH d AS ({GRAMS_SQL.format(id='doc_id', table='documents')}), q AS ({GRAMS_SQL.format(id='item_id', table='benchmark')}),
 n AS (SELECT item_id, count(*) AS total FROM q GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::BIGINT AS shared, round(count(*)::DOUBLE / any_value(total), 6) AS share FROM d JOIN q USING (gram) JOIN n USING (item_id) GROUP BY doc_id, item_id""")
 def quote_containment(spark, sf_dir):
@@ -89,7 +89,7 @@ def quote_containment(spark, sf_dir):
     return shared.join(totals, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("total"), 6).alias("share"))
 
 
-@query("answer_gap", [284, 287], f"""WITH {TOKENS_SQL}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM tokens GROUP BY token),
+@query("answer_gap", [284], f"""WITH {TOKENS_SQL}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM tokens GROUP BY token),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark)
 SELECT item_id, count(*)::BIGINT AS terms, count(*) FILTER (WHERE df IS NULL)::BIGINT AS missing,
  CASE WHEN count(*) FILTER (WHERE df IS NULL)::DOUBLE / count(*) >= 0.5 THEN 'unanswerable' WHEN count(*) FILTER (WHERE df IS NULL)::DOUBLE / count(*) >= 0.25 THEN 'uncertain' ELSE 'answerable' END AS verdict
@@ -103,7 +103,7 @@ def answer_gap(spark, sf_dir):
     return own.withColumn("verdict", F.when(share >= 0.5, "unanswerable").when(share >= 0.25, "uncertain").otherwise("answerable"))
 
 
-@query("lexical_rerank", [114, 115, 347], f"""WITH {TOKENS_SQL}, o AS (SELECT source, doc_id, count(DISTINCT token) FILTER (WHERE token IN ('the', 'and', 'of', 'in', 'to')) AS overlap FROM tokens GROUP BY ALL)
+@query("lexical_rerank", [347], f"""WITH {TOKENS_SQL}, o AS (SELECT source, doc_id, count(DISTINCT token) FILTER (WHERE token IN ('the', 'and', 'of', 'in', 'to')) AS overlap FROM tokens GROUP BY ALL)
 SELECT source, doc_id, overlap::BIGINT AS overlap FROM o QUALIFY overlap >= 5 OR row_number() OVER (PARTITION BY source ORDER BY overlap DESC, doc_id) <= 3""")
 def lexical_rerank(spark, sf_dir):
     """Rows that pass the gate, and at least the three best of each group."""
@@ -113,7 +113,7 @@ def lexical_rerank(spark, sf_dir):
     return own.withColumn("rn", F.row_number().over(w)).filter("overlap >= 5 or rn <= 3").drop("rn")
 
 
-@query("session_novelty", [303, 292], r"""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM conversations),
+@query("session_novelty", [303], r"""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM conversations),
 f AS (SELECT conv_id, token, min(turn) AS first FROM t GROUP BY ALL), u AS (SELECT DISTINCT conv_id, turn, token FROM t)
 SELECT conv_id, turn, count(*)::BIGINT AS terms, round(count(*) FILTER (WHERE first = turn)::DOUBLE / count(*), 6) AS novelty FROM u JOIN f USING (conv_id, token) GROUP BY conv_id, turn""")
 def session_novelty(spark, sf_dir):

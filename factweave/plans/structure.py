@@ -31,7 +31,7 @@ def section_tree(spark, sf_dir):
     return open_headings(spark, sf_dir).select("doc_id", "pos", "kind", path.alias("path"), F.greatest(at(1), at(2), at(3)).alias("section"))
 
 
-@query("section_type_profiles", [172, 37], f"""WITH {OPEN_SQL}, s AS (SELECT doc_id, greatest(coalesce(h1, -1), coalesce(h2, -1), coalesce(h3, -1)) AS section, kind FROM o)
+@query("section_type_profiles", [172], f"""WITH {OPEN_SQL}, s AS (SELECT doc_id, greatest(coalesce(h1, -1), coalesce(h2, -1), coalesce(h3, -1)) AS section, kind FROM o)
 SELECT doc_id, section::BIGINT AS section, count(*)::BIGINT AS items, round(avg(CASE WHEN kind = 'table' THEN 1.0 ELSE 0 END), 6) AS tables, round(avg(CASE WHEN kind = 'code' THEN 1.0 ELSE 0 END), 6) AS code, round(avg(CASE WHEN kind = 'paragraph' THEN 1.0 ELSE 0 END), 6) AS paragraphs FROM s GROUP BY ALL""")
 def section_type_profiles(spark, sf_dir):
     """What a section is made of: the shares of its items' kinds."""

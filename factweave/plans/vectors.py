@@ -62,7 +62,7 @@ def trim_to_core(spark, sf_dir):
     return own.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("label", "vec_id", "similarity")
 
 
-@query("facet_health", [89, 269], f"""WITH {CENTROIDS_SQL}
+@query("facet_health", [89], f"""WITH {CENTROIDS_SQL}
 SELECT label, count(*)::BIGINT AS members, round(avg({TO_FACET}), 6) AS cohesion, count(*) FILTER (WHERE {TO_FACET} >= 0.5)::BIGINT AS strong,
   CASE WHEN count(*) >= 10 THEN 'validated' ELSE 'candidate' END AS state FROM embeddings JOIN c ON label = facet GROUP BY label""")
 def facet_health(spark, sf_dir):
