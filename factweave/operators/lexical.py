@@ -78,8 +78,9 @@ def co_occurrence_of_rare(items: DataFrame, group: str, item: str, least: int, m
     many groups in common. Items meet by these choices, not by group: only
     pairs of the result meet.
     """
-    own = items.select(group, item).distinct().groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(group)).alias("of"))
-    rare = own.filter(F.col("n").between(least, most) & (F.size("of") >= least))
+    own = items.select(group, item).distinct()
+    few = own.groupBy(item).agg(F.count("*").alias("n")).filter(F.col("n").between(least, most)).select(item)
+    rare = own.join(few, item).groupBy(item).agg(F.array_sort(F.collect_list(group)).alias("of")).filter(F.size("of") >= least)
     places = [list(c) for n in range(least, most + 1) for c in combinations(range(n), least)]
     chosen = F.array(*[F.when(F.size("of") > max(c), F.concat_ws("\x1f", *[F.col("of")[i] for i in c])) for c in places if max(c) < most])
     keyed = rare.select(F.col(item).alias("a"), "of", F.explode(F.array_distinct(F.filter(chosen, lambda k: k.isNotNull()))).alias("key"))
