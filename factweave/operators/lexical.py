@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def term_counts(tokens: DataFrame) -> DataFrame:
     """doc_id, token, tf."""
@@ -38,7 +40,8 @@ def bm25_of_texts(texts: DataFrame, id_col: str, tokens: str, terms: Sequence[st
     """doc_id and score as bm25, from rows with a list of tokens: lengths and term counts are worked out in each row, and what is
     summed over the corpus is one row of counts. A text without tokens counts for neither length nor number."""
     counts = [F.size(F.filter(tokens, equal_to(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = texts.select(F.col(id_col).alias("doc_id"), F.size(tokens).alias("length"), *counts).filter("length > 0")
+    # Written once: a filter on counts would be pushed down and make each text's tokens again for every term.
+    rows = cut(texts.select(F.col(id_col).alias("doc_id"), F.size(tokens).alias("length"), *counts)).filter("length > 0")
     df = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *df)
     both = rows.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(corpus))

@@ -175,12 +175,13 @@ a AS (SELECT doc_id, text, pos, CASE doc_id % 5 WHEN 1 THEN replace(raw, ' ', '
 SELECT doc_id, pos::BIGINT AS pos, CASE WHEN exact > 0 THEN 'exact' WHEN loose > 0 THEN 'normalised' ELSE 'abstain' END AS status, CASE WHEN exact > 0 THEN exact - 1 WHEN loose > 0 THEN loose - 1 ELSE -1 END::BIGINT AS char_start, CASE WHEN times = 1 THEN 'unique' WHEN times > 1 THEN 'ambiguous' ELSE 'none' END AS quality FROM f""")
 def verbatim_spans(spark, sf_dir):
     """Quotes (sentences, some with other white space, some changed) found in their document: exactly, then with white space normalised, else abstain."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0))).alias("pos", "raw"))
+    flat = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text", flat("text").alias("plain"))
+    docs = texts.select("doc_id", "text", "plain", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0))).alias("pos", "raw"))
     raw = docs.withColumn("raw", F.trim("raw")).filter(F.length("raw").between(10, 300))
     quote = F.when(F.col("doc_id") % 5 == 1, F.replace("raw", F.lit(" "), F.lit("  "))).when(F.col("doc_id") % 5 == 2, F.concat("raw", F.lit(" zz9"))).otherwise(F.col("raw"))
-    flat = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
     own = raw.withColumn("quote", quote)
-    own = own.select("doc_id", "pos", F.instr("text", F.col("quote")).alias("exact"), F.instr(flat("text"), flat("quote")).alias("loose"), F.floor((F.length("text") - F.length(F.replace("text", F.col("quote")))) / F.length("quote")).alias("times"))
+    own = own.select("doc_id", "pos", F.instr("text", F.col("quote")).alias("exact"), F.instr("plain", flat("quote")).alias("loose"), F.floor((F.length("text") - F.length(F.replace("text", F.col("quote")))) / F.length("quote")).alias("times"))
     status = F.when(F.col("exact") > 0, "exact").when(F.col("loose") > 0, "normalised").otherwise("abstain")
     start = F.when(F.col("exact") > 0, F.col("exact") - 1).when(F.col("loose") > 0, F.col("loose") - 1).otherwise(-1)
     return own.select("doc_id", F.col("pos").cast("long").alias("pos"), status.alias("status"), start.cast("long").alias("char_start"), F.when(F.col("times") == 1, "unique").when(F.col("times") > 1, "ambiguous").otherwise("none").alias("quality"))
