@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, langid, media, mixing, quality, repeats, simhash, url_filter
+from . import bag_search, bpe, exact_dedup, hard_negatives, html_text, langid, maxscore, media, mixing, quality, repeats, simhash, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_media_jpeg": media.op8_media_jpeg,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_repeats": repeats.op10_repeats,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_maxscore": maxscore.op12_maxscore,
+    "op13_bag_search": bag_search.op13_bag_search,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_maxscore": maxscore.ORACLE_SQL,
+    "op13_bag_search": bag_search.ORACLE_SQL,
 }
