@@ -201,4 +201,4 @@ def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     said = materialize(identify(rows, key_col=row, give_lang=True), "languages")
     least = said.filter("not held_out and lang = lang_pred").agg(F.min("score")).first()[0]
     gone = said.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < FAR * (least or 0.0))).select("doc_id")
-    return without_ids(rows, gone, row).drop(row)
+    return without_ids(rows, materialize(gone, "rejected"), row).drop(row)  # written, so that few ids are broadcast by their size
