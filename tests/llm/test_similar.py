@@ -102,3 +102,16 @@ def test_the_stage_drops_near_copies(spark):
     for i, g in plain_groups(texts).items():
         groups[g].add(i)
     assert all(len(kept & g) == 1 for g in groups.values())
+
+
+def test_parities_of_any_sizes_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for sizes in ((1, 1), (3, 700), (900, 1000), (5000, 4000)):
+        common = rng.integers(0, 1 << 63, min(sizes) // 2, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n - common.size, dtype=np.uint64)])) for n in sizes)
+        differing = similar.parities_differ(similar.parities(a), similar.parities(b))
+        assert differing == similar.parities_differ(similar.parities(b), similar.parities(a))
+        assert differing <= np.setxor1d(a, b).size
+        assert similar.parities_differ(similar.parities(a), similar.parities(a)) == 0
+        if min(sizes) > 500:  # and tells most differing members apart
+            assert differing > 0.7 * np.setxor1d(a, b).size
