@@ -10,7 +10,7 @@ ORACLE_SQL: dict[str, str] = {}
 COVERS: dict[str, list[int]] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ["facts", "versions", "corpus", "extraction", "retrieval", "vectors", "consolidation", "graph", "entities", "governance", "streams", "ingestion", "claims", "values", "lineage", "structure", "language", "pairs", "answers", "checks", "graphs", "linking"]
+MODULES = ["facts", "versions", "corpus", "extraction", "retrieval", "vectors", "consolidation", "graph", "entities", "governance", "streams", "ingestion", "claims", "values", "lineage", "structure", "language", "pairs", "answers", "checks", "graphs", "linking", "indexed"]
 
 
 def query(name: str, covers: list[int], sql: str | None = None):
