@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import written as cut
 from .index import build, pairs_over
 
 

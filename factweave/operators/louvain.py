@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, cut
+from .graph import components
+from .graph import written as cut
 
 LEAST_GAIN = 1e-9
 
