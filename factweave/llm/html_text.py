@@ -5,10 +5,12 @@ their class and id. For each node of the merged tree, over the pages that have
 it, two importances are computed from entropies: that of its presentation (how
 varied the sequences of its children are) and that of its content (how evenly a
 text of it is spread over the pages: what stands on all pages is not important).
-What an element is called (element, role, words in class and id) and whether it
-lies in the page's article are features of its node, which lower its importance
-where they speak against text for readers. Every page loses its branches of low
-importance; nothing else decides.
+What an element is called (element, role, words in class and id), whether it is
+shown and whether it lies in the page's article are features of the page's own
+nodes. Every page loses the branches of low importance and, whatever their
+importance, those whose features speak against text for readers: parts that
+differ from page to page (menus, adverts) can't be told from content by
+entropy. Where a host's parts carry no telling names the tree alone decides.
 """
 
 from __future__ import annotations
