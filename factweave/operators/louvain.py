@@ -1,12 +1,13 @@
 """Communities by modularity: rounds of local moving, then the graph of communities, and again (Louvain).
 
 A round works out, for every node, what its edges weigh towards each
-neighbouring community and moves it where modularity gains most, smallest
-community first. Half of the nodes may move in a round, chosen by a hash of
-node and round, and of two single nodes only the larger id moves, so that
-neighbours don't change places for ever. The best labels of a level go on to
-the next one; at last single nodes move once more on the whole graph. Each
-round is joins and aggregates on edges and nodes; no node's edges are listed.
+neighbouring community and where modularity gains most, smallest community first. Of
+neighbours that would gain, only the one that gains most moves in a round (of
+equal ones that with the smallest id), and of two single nodes only the larger
+id, so that neighbours don't change places for ever. The best labels of a level
+go on to the next one; at last single nodes move once more on the whole graph.
+Each round is joins and aggregates on edges and nodes; no node's edges are
+listed.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def modularity(both: DataFrame, labels: DataFrame) -> float:
     return r["inside"] / r["m"] - r["squares"] / r["m"] ** 2 if r["m"] else 0.0
 
 
-def _round(both: DataFrame, state: DataFrame, m: float, turn: int) -> DataFrame:
+def _round(both: DataFrame, state: DataFrame, m: float) -> DataFrame:
     """state (node, community, k, loop) after this round; before: the community until then; own: what the node's edges weigh within that."""
     totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
     full = state.join(totals, "community")
@@ -56,13 +57,13 @@ def _round(both: DataFrame, state: DataFrame, m: float, turn: int) -> DataFrame:
         F.sum(F.when(F.col("c") == F.col("community"), F.col("inside")).otherwise(0.0)).alias("own"),
         F.min(F.when(allowed, F.struct((-value).alias("v"), F.col("c").alias("c")))).alias("best"),
     )
-    gain = -F.col("best.v") - (F.col("own") - F.col("k") * (F.col("total") - F.col("k")) / m)
+    gain = F.round(-F.col("best.v") - (F.col("own") - F.col("k") * (F.col("total") - F.col("k")) / m), 9)
     could = F.coalesce(gain > LEAST_GAIN, F.lit(False))
-    moves = could & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
-    return best.select(
-        "node", F.when(moves, F.col("best.c")).otherwise(F.col("community")).alias("community"), "k", "loop",
-        F.col("community").alias("before"), could.alias("could"), (F.col("own") + 2 * F.col("loop")).alias("own"),
-    )
+    wish = cut(best.select("node", "community", "k", "loop", (F.col("own") + 2 * F.col("loop")).alias("own"), F.col("best.c").alias("to"), could.alias("could"), F.struct((-gain).alias("g"), "node").alias("mine")))
+    rivals = both.join(wish.filter("could").select(F.col("node").alias("dst"), "mine"), "dst").groupBy(F.col("src").alias("_n")).agg(F.min("mine").alias("rival"))
+    moves = F.col("could") & (F.col("rival").isNull() | (F.col("mine") < F.col("rival")))
+    seen = wish.join(rivals, wish["node"] == rivals["_n"], "left")
+    return seen.select("node", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loop", F.col("community").alias("before"), "could", "own")
 
 
 def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFrame, float]:
@@ -71,8 +72,8 @@ def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFr
     best, best_q, since = state, -1.0, 0
     if not m:
         return best, 0.0
-    for turn in range(rounds):
-        step = cut(_round(both, state, m, turn))
+    for _ in range(rounds):
+        step = cut(_round(both, state, m))
         sums = step.groupBy("before").agg(F.sum("own").alias("own"), F.sum("k").alias("k"), F.count_if("could").alias("could"))
         r = sums.agg((F.sum("own") / m - F.sum(F.col("k") * F.col("k")) / (m * m)).alias("q"), F.sum("could").alias("could")).first()
         if r["q"] > best_q + LEAST_GAIN:
@@ -85,30 +86,44 @@ def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFr
     return best, best_q
 
 
-def louvain(edges: DataFrame, rounds: int = 12, levels: int = 6) -> DataFrame:
-    """node, community: communities of the undirected graph, named by their smallest node. edges: src, dst, weight above zero.
-
-    Loops are left out; nodes without another edge have no row. The result is
-    the same in every run. levels and rounds bound the work; a level ends when
-    no node gains by moving, and the last one when no community does.
-    """
-    whole = cut(both_ways(edges))
-    base = cut(whole.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0)))
-    member = base.select("node", F.col("node").alias("community"))
-    both, nodes, many = whole, base, base.count()
+def _up(whole: DataFrame, base: DataFrame, member: DataFrame, rounds: int, levels: int) -> tuple[DataFrame, float]:
+    """Moves the communities of member as nodes of their own graph, and theirs, until none moves; the communities of nodes then, and their modularity."""
+    both, nodes, many, q = whole, base, base.count(), -1.0
+    labels = member.select("node", F.col("community").alias("new"))
     for _ in range(levels):
-        state, _ = local_moving(both, nodes.select("node", F.col("node").alias("community"), "k", "loop"), rounds)
-        labels = state.select("node", F.col("community").alias("new"))
-        member = cut(member.join(labels.withColumnRenamed("node", "community"), "community").select("node", F.col("new").alias("community")))
         ends = both.join(labels.select(F.col("node").alias("src"), F.col("new").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("new").alias("b")), "dst")
         ends = cut(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
         inside = ends.filter("src = dst").select(F.col("src").alias("node"), (F.col("w") / 2).alias("more"))
-        fewer = state.groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+        fewer = nodes.join(labels, "node").groupBy(F.col("new").alias("node")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
         nodes = cut(fewer.join(inside, "node", "left").select("node", "k", (F.col("loop") + F.coalesce("more", F.lit(0.0))).alias("loop")))
         both, before = ends.filter("src != dst"), many
         many = nodes.count()
         if many == before:
             break
-    state, _ = local_moving(whole, base.join(member, "node").select("node", "community", "k", "loop"), rounds)
-    names = state.groupBy("community").agg(F.min("node").alias("first"))
-    return state.join(names, "community").select("node", F.col("first").alias("community"))
+        state, q = local_moving(both, nodes.select("node", F.col("node").alias("community"), "k", "loop"), rounds)
+        labels = state.select("node", F.col("community").alias("new"))
+        member = cut(member.join(labels.withColumnRenamed("node", "community"), "community").select("node", F.col("new").alias("community")))
+    return member, q
+
+
+def louvain(edges: DataFrame, rounds: int = 40, levels: int = 6, passes: int = 2) -> DataFrame:
+    """node, community: communities of the undirected graph, named by their smallest node. edges: src, dst, weight above zero.
+
+    Loops are left out; nodes without another edge have no row. The result is
+    the same in every run. rounds, levels and passes bound the work: rounds of
+    a level end when no node gains by moving, levels when no community does;
+    a pass starts with single nodes in the communities of the one before, and
+    the best communities that were seen count.
+    """
+    whole = cut(both_ways(edges))
+    base = cut(whole.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0)))
+    state, best_q = local_moving(whole, base.select("node", F.col("node").alias("community"), "k", "loop"), rounds)
+    best = state.select("node", "community")
+    for _ in range(passes):
+        member, _ = _up(whole, base, best, rounds, levels)
+        state, q = local_moving(whole, base.join(member, "node").select("node", "community", "k", "loop"), rounds)
+        if q <= best_q + LEAST_GAIN:
+            break
+        best, best_q = cut(state.select("node", "community")), q
+    names = best.groupBy("community").agg(F.min("node").alias("first"))
+    return best.join(names, "community").select("node", F.col("first").alias("community"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import density, linkage, louvain
 from ..operators import index as I
-from ..operators import linkage, louvain
+from ..operators.graph import cut
 from ..sources.tables import read
 from .registry import query
 
@@ -51,7 +53,45 @@ def neighbour_graph(spark, sf_dir, k=8, least=0.1):
     return found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("similarity").alias("weight"))
 
 
-@query("louvain_communities", [264])
+@query("louvain_communities", [265])
 def louvain_communities(spark, sf_dir):
     """Communities of the largest component of the graph of nearest neighbours, by modularity."""
     return louvain.louvain(louvain.giant_component(neighbour_graph(spark, sf_dir)))
+
+
+def density_members(rows, k, core, least, merge, attach):
+    """id, cluster, attached of all rows (id, embedding): density clusters on the graph of neighbours, like centroids merged, near noise attached."""
+    index = I.build(rows, "id", "embedding")
+    every = index.rows.select("id", "v", "tag")
+    index = I.choose_visits(index, every, k, 0.95)
+    near = I.search(index, every, k, index.visits).select("query_id", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), "rank")
+    found = cut(density.density_clusters(density.mutual_reachability(cut(near), core), least))
+    members = index.rows.select("id", "v").join(found.filter("cluster is not null").withColumnRenamed("node", "id"), "id")
+    # One row for each cluster, which has ``least`` rows at least; merging goes from the smallest name on, as centroids move with it.
+    of = sorted(density.centroids_of(members).collect(), key=lambda r: r["cluster"])
+    names, centres, sizes, into = [], [], [], {}
+    for r in of:
+        own = np.array(r["centroid"])
+        for i, c in enumerate(centres):
+            if float(own @ c) / (np.linalg.norm(c) or 1.0) >= merge:
+                centres[i] = (c * sizes[i] + own * r["n"]) / (sizes[i] + r["n"])
+                sizes[i] += r["n"]
+                into[r["cluster"]] = names[i]
+                break
+        else:
+            names.append(r["cluster"]), centres.append(own), sizes.append(r["n"])
+    if into:
+        moved = F.create_map(*[F.lit(x) for kv in into.items() for x in kv])
+        found = found.withColumn("cluster", F.coalesce(F.element_at(moved, F.col("cluster")), F.col("cluster")))
+    unit = I.unit(np.array(centres)) if centres else np.zeros((0, 1))
+    return density.attach_noise(index.rows.select("id", "v"), found, unit, names, attach)
+
+
+@query("density_facets", [269])
+def density_facets(spark, sf_dir):
+    """Density clusters of all vectors (eight rows at least), quasi equal ones merged at 0.95, noise attached at 0.87; noise has no cluster.
+
+    Distances are taken on the vectors themselves, not on a projection of them.
+    """
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return density_members(rows, 12, 3, 8, 0.95, 0.87)
