@@ -44,8 +44,11 @@ def modularity(both: DataFrame, labels: DataFrame) -> float:
     return r["inside"] / r["m"] - r["squares"] / r["m"] ** 2 if r["m"] else 0.0
 
 
-def _round(both: DataFrame, state: DataFrame, m: float) -> DataFrame:
-    """state (node, community, k, loop) after this round; before: the community until then; own: what the node's edges weigh within that."""
+def _round(both: DataFrame, state: DataFrame, m: float) -> tuple[DataFrame, DataFrame]:
+    """What the nodes of state (node, community, k, loop) wish for, written, and the state after this round.
+
+    own: what the node's edges weigh within its community; could: whether it would gain by moving.
+    """
     totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
     full = state.join(totals, "community")
     there = full.select(F.col("node").alias("dst"), F.col("community").alias("c"), F.col("total").alias("c_total"), F.col("members").alias("c_members"))
@@ -63,7 +66,7 @@ def _round(both: DataFrame, state: DataFrame, m: float) -> DataFrame:
     rivals = both.join(wish.filter("could").select(F.col("node").alias("dst"), "mine"), "dst").groupBy(F.col("src").alias("_n")).agg(F.min("mine").alias("rival"))
     moves = F.col("could") & (F.col("rival").isNull() | (F.col("mine") < F.col("rival")))
     seen = wish.join(rivals, wish["node"] == rivals["_n"], "left")
-    return seen.select("node", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loop", F.col("community").alias("before"), "could", "own")
+    return wish, seen.select("node", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loop")
 
 
 def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFrame, float]:
@@ -73,16 +76,16 @@ def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFr
     if not m:
         return best, 0.0
     for _ in range(rounds):
-        step = cut(_round(both, state, m))
-        sums = step.groupBy("before").agg(F.sum("own").alias("own"), F.sum("k").alias("k"), F.count_if("could").alias("could"))
+        wish, after = _round(both, state, m)
+        sums = wish.groupBy("community").agg(F.sum("own").alias("own"), F.sum("k").alias("k"), F.count_if("could").alias("could"))
         r = sums.agg((F.sum("own") / m - F.sum(F.col("k") * F.col("k")) / (m * m)).alias("q"), F.sum("could").alias("could")).first()
         if r["q"] > best_q + LEAST_GAIN:
-            best, best_q, since = state, r["q"], 0
+            best, best_q, since = wish.select("node", "community", "k", "loop"), r["q"], 0
         else:
             since += 1
         if not r["could"] or since > 1:
             break
-        state = step.select("node", "community", "k", "loop")
+        state = after
     return best, best_q
 
 
@@ -106,7 +109,7 @@ def _up(whole: DataFrame, base: DataFrame, member: DataFrame, rounds: int, level
     return member, q
 
 
-def louvain(edges: DataFrame, rounds: int = 40, levels: int = 6, passes: int = 2) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 40, levels: int = 6, passes: int = 1) -> DataFrame:
     """node, community: communities of the undirected graph, named by their smallest node. edges: src, dst, weight above zero.
 
     Loops are left out; nodes without another edge have no row. The result is

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import communities as C
+from ..operators import holes as H
 from ..operators import vectors as V
 from ..operators.graph import cut
 from ..sources.tables import read
@@ -171,3 +172,13 @@ def hybrid_search_all(spark, sf_dir):
     fused = ranks.select("query_id", "id", F.round(part("l") + part("d"), 8).alias("rrf"))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "id")
     return fused.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+
+
+@query("structural_holes", [337], f"""WITH {EDGES_SQL}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM edges WHERE src <> dst GROUP BY ALL), both_ends AS (SELECT a AS i, b AS j, w FROM u UNION ALL SELECT b, a, w FROM u),
+p AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS p FROM both_ends), m AS (SELECT x.i, y.j, sum(x.p * y.p) AS more, count(*) AS common FROM p x JOIN p y ON x.j = y.i JOIN p z ON z.i = x.i AND z.j = y.j GROUP BY ALL),
+s AS (SELECT p.i AS node, count(*) AS n, sum(coalesce(common, 0)) AS twice, sum((p.p + coalesce(more, 0)) ** 2) AS c FROM p LEFT JOIN m ON p.i = m.i AND p.j = m.j GROUP BY p.i)
+SELECT node, n::BIGINT AS neighbours, (twice // 2)::BIGINT AS triangles, round(CASE WHEN n > 1 THEN twice::DOUBLE / (n * (n - 1)) ELSE 0 END, 6) AS clustering, round(c, 6) AS "constraint" FROM s""")
+def structural_holes(spark, sf_dir):
+    """Nodes that stand between parts of the whole graph which are not linked: triangles, clustering and constraint of every node."""
+    found = H.structural_holes(edges(spark, sf_dir))
+    return found.select("node", "neighbours", "triangles", F.round("clustering", 6).alias("clustering"), F.round("constraint", 6).alias("constraint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "hybrid_search_all"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 COVERS: dict[str, list[int]] = {}
