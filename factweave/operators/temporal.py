@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def valid_at(df: DataFrame, at: Column, start: str = "valid_from", end: str = "valid_until", end_inclusive: bool = False) -> DataFrame:
     """Rows whose validity holds at a time: from the start on, up to the end; a null bound is open."""
@@ -64,3 +66,38 @@ def period_changes(df: DataFrame, start: Column, end: Column, id_col: str, repla
     old = df.filter(within(F.col("valid_until"))).select(id_col, F.lit("retired").alias("change"))
     moved = replaced.filter(within(F.col("at"))).select(id_col, F.lit("modified").alias("change"))
     return new.unionByName(old).unionByName(moved)
+
+
+def cascade(nodes: DataFrame, depends: DataFrame, rounds: int = 200) -> DataFrame:
+    """id, closes, cause, moved_in: when each node closes, if it closes no later than anything that it depends on.
+
+    nodes: id, closes (null: open); depends: src, dst (dst depends on src). Only
+    what moved in a round is looked at in the next, until nothing moves, so a
+    cycle ends as well. cause: whose own closing it is, of equal times the
+    smallest id; moved_in: the round in which the node moved last, 0 if never.
+    Nodes that only ``depends`` has are left out; repeated ids count once, with
+    the earliest closing.
+    """
+    own = nodes.groupBy("id").agg(F.min("closes").alias("closes"))
+    state = written(own.select("id", F.when(F.col("closes").isNotNull(), F.struct("closes", F.col("id").alias("cause"))).alias("at"), F.lit(0).cast("long").alias("moved_in")))
+    edges = written(depends.filter("src != dst").select("src", "dst").distinct())
+    delta = state.filter("at is not null").select("id", "at")
+    for turn in range(1, rounds + 1):
+        reached = edges.join(delta, edges["src"] == delta["id"]).groupBy(F.col("dst").alias("_n")).agg(F.min("at").alias("new"))
+        moved = written(state.join(reached, state["id"] == reached["_n"]).filter(F.col("at").isNull() | (F.col("new") < F.col("at"))).select("id", F.col("new").alias("at")))
+        if moved.isEmpty():
+            return state.select("id", "at.closes", "at.cause", "moved_in")
+        newer = moved.select(F.col("id").alias("_m"), F.col("at").alias("_at"))
+        state = written(state.join(newer, state["id"] == newer["_m"], "left").select("id", F.coalesce("_at", "at").alias("at"), F.when(F.col("_at").isNotNull(), turn).otherwise(F.col("moved_in")).cast("long").alias("moved_in")))
+        delta = moved
+    raise RuntimeError(f"closings still move after {rounds} rounds")
+
+
+def bitemporal(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, known_from: Column, changed_at: Column) -> DataFrame:
+    """keys, value, known_from, known_until: what was known of each key and when; a changed value closes its old row and opens a new one."""
+    old = before.select(*keys, F.col(value).alias("_old"))
+    both = old.join(after.select(*keys, F.col(value).alias("_new")), list(keys), "left")
+    changed = ~F.col("_old").eqNullSafe(F.col("_new"))
+    kept = both.select(*keys, F.col("_old").alias(value), known_from.alias("known_from"), F.when(changed, changed_at).alias("known_until"))
+    opened = both.filter(changed).select(*keys, F.col("_new").alias(value), changed_at.alias("known_from"), F.lit(None).cast(before.select(changed_at).schema[0].dataType).alias("known_until"))
+    return kept.unionByName(opened)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import resolver as R
 from ..sources.tables import read
 from .registry import query
 
@@ -100,3 +101,18 @@ def subject_resolution(spark, sf_dir):
     both = read(spark, sf_dir, "customer").join(known, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     wider = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("even "), "r_name"))
     return both.select("c_custkey", F.coalesce("exact", wider, F.lit("unresolved")).alias("subject"))
+
+
+@query("incremental_resolver", [360], """WITH RECURSIVE k AS (SELECT p_partkey AS item, p_name || '|' || p_brand AS key FROM part UNION ALL SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size FROM part),
+e AS (SELECT DISTINCT a.item AS a, b.item AS b FROM k a JOIN k b USING (key)), walk AS (SELECT a AS node, b AS other FROM e UNION SELECT walk.node, e.b FROM walk JOIN e ON walk.other = e.a)
+SELECT node AS item, min(other) AS cluster FROM walk GROUP BY node""")
+def incremental_resolver(spark, sf_dir):
+    """Parts that share name and brand, or brand, type and size, are one concept; four batches come one by one and join the clusters that are there."""
+    part = read(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    keys = F.array(F.concat_ws("|", "p_name", "p_brand"), F.concat_ws("|", "p_brand", "p_type", size))
+    rows = part.select(F.col("p_partkey").alias("item"), F.explode(keys).alias("key"))
+    store = R.ConceptStore(spark)
+    for n in range(4):
+        store.insert(rows.filter(F.pmod(F.xxhash64("item"), F.lit(4)) == n))
+    return store.resolve(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import ordering as O
+from ..operators import temporal as X
 from ..sources.statements import STATEMENTS_SQL, statements
 from ..sources.tables import read
 from .graph import EDGES_SQL, STRONG_SQL, edges, strong
@@ -219,3 +220,30 @@ def version_at_each_date(spark, sf_dir):
     known = versions.select(F.year("at").alias("year")).distinct()
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return years.join(F.broadcast(known), "year").select(stamp(F.make_timestamp_ntz("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).alias("at"), "doc", stamp(F.col("version")).alias("version"))
+
+
+CLOSING_SQL = """c AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderdate AS ordered, max(CASE WHEN o_orderstatus = 'F' THEN l_shipdate END) AS closes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+w AS (SELECT id, closes AS own, min(CASE WHEN closes IS NOT NULL THEN struct_pack(closes := closes, cause := id) END) OVER (PARTITION BY cust, year(ordered) ORDER BY ordered, id) AS best FROM c)"""
+
+
+def closings(spark, sf_dir):
+    """Orders with the date on which they close (the last shipment of a finished one), and on which order of the customer's year each depends: the one before it."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last"))
+    orders = read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    nodes = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("last")).alias("closes"))
+    w = Window.partitionBy("o_custkey", F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey")
+    depends = orders.select(F.lag("o_orderkey").over(w).alias("src"), F.col("o_orderkey").alias("dst")).filter("src is not null")
+    return nodes, depends
+
+
+@query("cascade_closings", [317], f"""WITH {CLOSING_SQL}, r AS (SELECT id, own AS closes, id AS cause, 1 AS known_from, own IS DISTINCT FROM best.closes AS superseded FROM w
+ UNION ALL SELECT id, best.closes, best.cause, 2, false FROM w WHERE own IS DISTINCT FROM best.closes)
+SELECT id, coalesce(strftime(closes, '%Y-%m-%d'), 'open') AS closes, cause::BIGINT AS cause, known_from, superseded FROM r""")
+def cascade_closings(spark, sf_dir):
+    """A closing closes all that depends on it, however far: what was known of each order's closing before and after, and whose closing moved it."""
+    nodes, depends = closings(spark, sf_dir)
+    after = X.cascade(nodes, depends)
+    rows = X.bitemporal(nodes, after, ["id"], "closes", F.lit(1), F.lit(2))
+    causes = after.select("id", "cause")
+    day = F.coalesce(F.date_format("closes", "yyyy-MM-dd"), F.lit("open")).alias("closes")
+    return rows.join(causes, "id").select("id", day, F.when(F.col("known_from") == 2, F.col("cause")).otherwise(F.col("id")).alias("cause"), "known_from", F.col("known_until").isNotNull().alias("superseded"))
