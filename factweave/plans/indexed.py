@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density, linkage, louvain
 from ..operators import index as I
+from ..operators import vectors as V
 from ..operators.graph import cut
 from ..sources.tables import read
 from .registry import query
@@ -95,3 +96,32 @@ def density_facets(spark, sf_dir):
     """
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return density_members(rows, 12, 3, 8, 0.95, 0.87)
+
+
+@query("multi_signal_pairs", [58], """WITH c AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, o_orderpriority AS facet, o_custkey AS node FROM embeddings LEFT JOIN orders ON o_orderkey = vec_id),
+e AS (SELECT DISTINCT x.l_orderkey AS a, y.l_orderkey AS b FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_orderkey < y.l_orderkey WHERE x.l_orderkey IN (SELECT vec_id FROM embeddings) AND y.l_orderkey IN (SELECT vec_id FROM embeddings)),
+s AS (SELECT x.vec_id AS a, y.vec_id AS b, round(0.30::DOUBLE * round(list_cosine_similarity(x.v, y.v), 6) + CASE WHEN e.a IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN x.facet = y.facet THEN 0.15::DOUBLE ELSE 0 END
+ + CASE WHEN x.label = y.label THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN x.node = y.node THEN 0.10::DOUBLE ELSE 0 END, 6) AS score FROM c x JOIN c y ON x.vec_id < y.vec_id LEFT JOIN e ON e.a = x.vec_id AND e.b = y.vec_id)
+SELECT a, b, score FROM s WHERE score >= 0.55""")
+def multi_signal_pairs(spark, sf_dir):
+    """Pairs of claims whose weighted signals reach 0.55: cosine (0.30), a shared part (0.25), the same priority (0.15), cluster (0.20), the same customer (0.10).
+
+    A claim's vector and its order have one id. All signals but the cosine are
+    known from keys, and without a shared part they come to 0.45 at most, so
+    such a pair needs a cosine of a third, which the index's exact join finds;
+    pairs with a shared part meet by that part. No members of a cluster, a
+    priority or a customer are paired as such.
+    """
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("facet"), F.col("o_custkey").alias("node"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    claims = cut(rows.join(orders, "id", "left"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part")).distinct().join(claims.select("id"), "id", "left_semi")
+    sharing = lines.select(F.col("id").alias("a"), "part").join(lines.select(F.col("id").alias("b"), "part"), "part").filter("a < b").select("a", "b").distinct()
+    near = I.pairs_over(I.build(claims, "id", "v"), 0.333333)
+    pairs = sharing.withColumn("shared", F.lit(0.25)).join(near, ["a", "b"], "full")
+    side = lambda c: claims.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("label", "facet", "node", "v")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = lambda c, w: F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), w).otherwise(0.0)
+    cosine = F.coalesce("similarity", F.round(V.cosine(F.col("v_a"), F.col("v_b")), 6))
+    score = F.round(0.30 * cosine + F.coalesce("shared", F.lit(0.0)) + same("facet", 0.15) + same("label", 0.20) + same("node", 0.10), 6)
+    return both.select("a", "b", score.alias("score")).filter("score >= 0.55")
