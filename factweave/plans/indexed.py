@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import density, linkage, louvain
@@ -125,3 +126,20 @@ def multi_signal_pairs(spark, sf_dir):
     cosine = F.coalesce("similarity", F.round(V.cosine(F.col("v_a"), F.col("v_b")), 6))
     score = F.round(0.30 * cosine + F.coalesce("shared", F.lit(0.0)) + same("facet", 0.15) + same("label", 0.20) + same("node", 0.10), 6)
     return both.select("a", "b", score.alias("score")).filter("score >= 0.55")
+
+
+@query("balanced_rerank", [116], """WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label AS side, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+ QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) <= 30),
+s AS (SELECT query_id, count(DISTINCT side) AS sides FROM n GROUP BY query_id), k AS (SELECT n.*, row_number() OVER (PARTITION BY query_id, side ORDER BY similarity DESC, id) AS place, ceil(10 / sides) AS quota FROM n JOIN s USING (query_id) QUALIFY place <= quota)
+SELECT query_id, id, side, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::BIGINT AS rank FROM k""")
+def balanced_rerank(spark, sf_dir):
+    """Of every query's thirty nearest rows an equal quota from each group (ten in all, rounded up), so that no side of a comparison is crowded out."""
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = V.top_k(rows, asked, "vec_id", "embedding", 30).select("query_id", "id", "similarity")
+    near = near.join(rows.select(F.col("vec_id").alias("id"), F.col("label").alias("side")), "id")
+    sides = F.size(F.collect_set("side").over(Window.partitionBy("query_id")))  # of thirty rows
+    own = Window.partitionBy("query_id", "side").orderBy(F.desc("similarity"), "id")
+    kept = near.withColumn("quota", F.ceil(10 / sides)).withColumn("place", F.row_number().over(own)).filter("place <= quota")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return kept.select("query_id", "id", "side", "similarity", F.row_number().over(order).cast("long").alias("rank"))

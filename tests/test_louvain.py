@@ -66,7 +66,7 @@ def planted(n, groups, within, between, seed):
 
 
 def test_modularity_is_that_of_the_plain_form(spark):
-    edges = [*planted(90, 5, 0.3, 0.03, 1), (3, 3, 2.0), (500, 501, 1.0), (500, 501, 0.5)]
+    edges = [*planted(48, 4, 0.4, 0.04, 1), (3, 3, 2.0), (500, 501, 1.0), (500, 501, 0.5)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(3)
     found = L.louvain(df)
     part = {r.node: r.community for r in found.collect()}
