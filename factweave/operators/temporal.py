@@ -101,3 +101,52 @@ def bitemporal(before: DataFrame, after: DataFrame, keys: Sequence[str], value:
     kept = both.select(*keys, F.col("_old").alias(value), known_from.alias("known_from"), F.when(changed, changed_at).alias("known_until"))
     opened = both.filter(changed).select(*keys, F.col("_new").alias(value), changed_at.alias("known_from"), F.lit(None).cast(before.select(changed_at).schema[0].dataType).alias("known_until"))
     return kept.unionByName(opened)
+
+
+#: Levels of the time tree: 2^LEVELS units of time.
+LEVELS = 40
+
+
+def tree_nodes(start: Column, end: Column, levels: int = LEVELS) -> Column:
+    """The nodes (level, place) of a binary tree over whole times that make up [start, end) together: two for each level at most."""
+
+    def at(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        s, e = F.floor((start + width - 1) / width), F.floor(end / width)
+        left = F.when((s < e) & (s % 2 != 0), s)
+        right = F.when((s < e) & (e % 2 != 0), e - 1)
+        return F.transform(F.filter(F.array(left, right), lambda p: p.isNotNull()), lambda p: F.struct(level.alias("level"), p.cast("long").alias("place")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def node_of(time: Column, level: Column) -> Column:
+    return F.floor(time / F.call_function("shiftleft", F.lit(1).cast("long"), level)).cast("long")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, levels: int = LEVELS) -> DataFrame:
+    """Pairs of a left and a right row of equal keys whose validities [start, end) share a moment, each pair once; left and right as structs.
+
+    start, end: whole numbers not below zero and under 2^levels; a null start
+    is the beginning, a null end is open. Of two that overlap, one begins while
+    the other holds: an equi-join of a moment's tree nodes with an interval's,
+    of which exactly one meets. An interval is a few dozen rows however long it
+    is; no rows are paired but those of the result. Empty validities meet
+    nothing; rows with a null key neither.
+    """
+    most = 1 << levels
+    begin, until = F.coalesce(F.col(start), F.lit(0)).cast("long"), F.coalesce(F.col(end), F.lit(most)).cast("long")
+    shape = lambda df, side: df.filter(begin < until).select(*keys, begin.alias("_s"), until.alias("_e"), F.struct(*df.columns).alias(side))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    points = lambda df: df.select("*", level).withColumn("place", node_of(F.col("_s"), F.col("level"))).drop("_s", "_e")
+    spans = lambda df: df.select("*", F.explode(tree_nodes(F.col("_s"), F.col("_e"), levels)).alias("_n")).select("*", "_n.level", "_n.place").drop("_n", "_e")
+    a, b = shape(left, "left"), shape(right, "right")
+    on = [*keys, "level", "place"]
+    # Levels that no interval of the other side uses meet nothing; they are left out before the points are dealt.
+    used = lambda df: df.select("level").distinct()
+    sa, sb = spans(a), spans(b)
+    later = points(b).join(used(sa), "level", "left_semi").join(sa.drop("_s"), on).select("left", "right")
+    earlier = points(a).join(used(sb), "level", "left_semi").join(sb, on)
+    # Equal beginnings are found both ways: they count where the right row begins within the left one.
+    earlier = earlier.filter(F.coalesce(F.col(f"left.{start}"), F.lit(0)).cast("long") > F.col("_s")).select("left", "right")
+    return later.unionByName(earlier)

@@ -186,3 +186,20 @@ SELECT fact_id FROM facts WHERE status = 'proposed' AND valid_until < TIMESTAMP
 def expired_rows(spark, sf_dir):
     limit = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
     return facts(spark, sf_dir).filter((F.col("status") == "proposed") & (F.col("valid_until") < limit)).select("fact_id")
+
+
+@query("overlapping_offers", [44], """WITH f AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS subject, l_suppkey AS source, l_discount AS value, l_returnflag = 'N' AS proposed, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS s, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) + l_quantity::BIGINT AS e FROM lineitem)
+SELECT p.id AS proposed_id, p.line AS proposed_line, a.id AS approved_id, a.line AS approved_line, p.subject AS subject, round(abs(p.value - a.value), 4) AS apart FROM f p JOIN f a ON p.subject = a.subject AND p.proposed AND NOT a.proposed AND p.s < a.e AND a.s < p.e AND p.source <> a.source AND p.value <> a.value""")
+def overlapping_offers(spark, sf_dir):
+    """Proposed and approved offers on a part that hold at one time and differ: validities of any lengths, which begin and end where they like."""
+    day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("source"),
+        F.col("l_discount").alias("value"), (F.col("l_returnflag") == "N").alias("proposed"), day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"),
+    )
+    both = temporal.overlapping(rows.filter("proposed"), rows.filter("not proposed"), ["subject"], "s", "e", 16)
+    differ = both.filter("left.source != right.source and left.value != right.value")
+    return differ.select(
+        F.col("left.id").alias("proposed_id"), F.col("left.line").alias("proposed_line"), F.col("right.id").alias("approved_id"), F.col("right.line").alias("approved_line"),
+        F.col("left.subject").alias("subject"), F.round(F.abs(F.col("left.value") - F.col("right.value")), 4).alias("apart"),
+    )

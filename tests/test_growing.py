@@ -73,3 +73,31 @@ def test_holes(spark):
     assert min(got, key=lambda n: got[n].constraint) == 3 and got[3].triangles == 2
     assert got[6].constraint == 1.0 and got[6].clustering == 0.0
     assert abs(got[2].constraint - ((0.5 + 0.5 / 4) ** 2 + (0.5 + 0.5 / 3) ** 2)) < 1e-9
+
+
+def test_overlapping_validities_as_plain(spark):
+    rng = random.Random(12)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            s = rng.randrange(0, 200)
+            out.append((i, rng.choice("ab") if rng.random() < 0.95 else None, s if rng.random() < 0.9 else None, s + rng.choice([0, 1, 3, 40, 150]) if rng.random() < 0.85 else None))
+        return out
+
+    left, right = some(70), some(60)
+    schema = "id long, k string, s long, e long"
+    got = temporal.overlapping(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], "s", "e", 10).collect()
+    want = []
+    for i, k, s, e in left:
+        for j, m, t, u in right:
+            a, b, c, d = s or 0, 1024 if e is None else e, t or 0, 1024 if u is None else u
+            if k is not None and k == m and a < b and c < d and a < d and c < b:
+                want.append((i, j))
+    assert sorted((r.left.id, r.right.id) for r in got) == sorted(want) and len(want) > 500
+
+
+def test_tree_nodes_make_up_the_interval(spark):
+    for s, e in ((0, 1), (3, 17), (5, 5), (0, 1024), (1023, 1024), (1, 1023)):
+        nodes = spark.range(1).select(temporal.tree_nodes(F.lit(s).cast("long"), F.lit(e).cast("long"), 10).alias("n")).first().n
+        assert sorted(t for n in nodes for t in range(n.place << n.level, (n.place + 1) << n.level)) == list(range(s, e))
