@@ -11,15 +11,13 @@ at which the row leaves it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, written
 from .graph import written as cut
+from .index import build, pairs_over, search
 
 #: Edges of the forest that one task takes in order.
 EDGES_AT_ONCE = 1 << 19
@@ -192,20 +190,21 @@ def centroids_of(members: DataFrame) -> DataFrame:
     return lists.withColumn("m", centre).withColumn("len", size).join(sizes, "cluster").select("cluster", F.when(F.col("len") > 0, F.transform("m", lambda x: x / F.col("len"))).otherwise(F.col("m")).alias("centroid"), "n")
 
 
-def attach_noise(rows: DataFrame, clusters: DataFrame, centres: np.ndarray, names: list[int], least: float) -> DataFrame:
-    """id, cluster, attached: noise takes the cluster whose centroid is nearest, if it has a cosine of ``least``. centres: a row for each name."""
+def merge_alike(clusters: DataFrame, centres: DataFrame, least: float) -> DataFrame:
+    """clusters (node, cluster) with those joined, under the smallest name, whose centroids (cluster, centroid) have a cosine of ``least``, or are linked by such."""
+    alike = pairs_over(build(centres, "cluster", "centroid"), least)
+    parts = written(components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    return clusters.join(parts.select(F.col("node").alias("_c"), "component"), F.col("cluster") == F.col("_c"), "left").select(clusters["node"], F.coalesce("component", "cluster").alias("cluster"))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            m = np.array([np.asarray(v, np.float64) for v in frame["v"]]).reshape(len(frame), -1)
-            size = np.sqrt((m * m).sum(axis=1))
-            near = np.round(m / np.where(size > 0, size, 1)[:, None] @ centres.T, 6)
-            best = near.argmax(axis=1)
-            yield pd.DataFrame({"id": frame["id"], "near": [names[k] if near[i, k] >= least else None for i, k in enumerate(best)]}).astype({"near": "Int64"})
+def attach_noise(rows: DataFrame, clusters: DataFrame, centres: DataFrame, least: float) -> DataFrame:
+    """id, cluster, attached: noise takes the cluster whose centroid is nearest, if it has a cosine of ``least``, of equal ones the smallest.
 
-    both = rows.join(clusters, rows["id"] == clusters["node"], "left").select("id", "v", "cluster")
-    if not names:
-        return both.select("id", "cluster", F.lit(False).alias("attached"))
-    near = both.filter("cluster is null").select("id", "v").mapInPandas(run, "id long, near long")
-    out = both.select(F.col("id").alias("_i"), "cluster").join(near, F.col("_i") == near["id"], "left")
-    return out.select(F.col("_i").alias("id"), F.coalesce("cluster", "near").alias("cluster"), F.expr("cluster is null and near is not null").alias("attached"))
+    rows: id, v; clusters: node, cluster (null for noise); centres: cluster, centroid.
+    """
+    both = written(rows.join(clusters, rows["id"] == clusters["node"], "left").select("id", "v", "cluster"))
+    # A query's own id is left out of a search; noise asks under names that no cluster has.
+    asked = both.filter("cluster is null").select((-F.col("id") - 1).alias("id"), "v", F.lit(None).cast("string").alias("tag"))
+    near = search(build(centres, "cluster", "centroid"), asked, 1, None, least=least).select((-F.col("query_id") - 1).alias("_i"), F.col("id").alias("near"))
+    out = both.join(near, both["id"] == near["_i"], "left")
+    return out.select("id", F.coalesce("cluster", "near").alias("cluster"), F.expr("cluster is null and near is not null").alias("attached"))

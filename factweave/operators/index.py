@@ -68,8 +68,11 @@ def fit_centroids(vectors: DataFrame, cells: int) -> np.ndarray:
     some = vectors.withColumn("h", F.xxhash64("id")).filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
     some = some.orderBy("h", "id").limit(FITTED)  # a top-k: tasks pass on no more than this
     rows = cut(some.select(array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("features")).coalesce(1))
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return np.zeros((1, 1))
+    if n <= max(cells, 2):  # each row is its own centroid
+        return unit(np.array([r["features"].toArray() for r in rows.collect()]))
     found = KMeans(k=max(cells, 2), seed=42, maxIter=8, initMode="random").fit(rows).clusterCenters()
     return unit(np.array(found))
 
@@ -163,17 +166,26 @@ def packed(rows: DataFrame, size: int, width: int) -> DataFrame:
     return lists.select("cell", "part", F.col("x.id").alias("ids"), F.col("x.tag").alias("tags"), F.flatten("x.v").alias("flat"))
 
 
-def search(index: Index, queries: DataFrame, k: int, visits: int, rule: str = "", least: float | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, visits: int | None, rule: str = "", least: float | None = None) -> DataFrame:
     """query_id, id, similarity, rank: for each query (id, v, tag) the k best rows of the ``visits`` cells nearest to it.
 
     rule: "across" takes only rows of another tag, "within" only rows of the
     same; least: no row below this similarity. A query's own id is left out;
-    equal similarities go by id. Null tags are one tag.
+    equal similarities go by id. Null tags are one tag. Without ``visits`` a
+    query visits every cell that could have a row of similarity ``least``
+    (above zero), so the result is exact.
     """
     spark = queries.sparkSession
     width = index.centroids.shape[1]
-    visits = min(visits, len(index.centroids))
-    asked = with_cells(queries, index.centroids, visits).select("id", "v", "tag", F.explode("cells").alias("cell"))
+    if visits is None and (least is None or least <= 0):
+        raise ValueError("without visits least must be above zero")
+    if visits is None:
+        ship_package(spark)
+        own = queries.schema["id"].dataType.simpleString()
+        asked = queries.select("id", "v", "tag").mapInArrow(_cells_within(index.centroids, reach_of(index), least), f"id {own}, v array<double>, tag string, cells array<int>")
+    else:
+        asked = with_cells(queries, index.centroids, min(visits, len(index.centroids)))
+    asked = asked.select("id", "v", "tag", F.explode("cells").alias("cell"))
     blocks = packed(cut(asked), QUERIES_AT_ONCE, width).select("cell", F.col("ids").alias("asked"), F.col("tags").alias("asked_tags"), F.col("flat").alias("q"))
     lists = packed(index.rows, ROWS_AT_ONCE, width).select("cell", "part", "ids", "tags", F.col("flat").alias("r"))
     # Lists of a large cell are spread by their part; blocks of queries follow by the join.
@@ -250,6 +262,15 @@ def _pairs(least: float):
     return run
 
 
+def reach_of(index: Index) -> np.ndarray:
+    """The largest angle between each cell's rows and its centroid; below zero for a cell without rows. What comes to the driver is a row for each cell."""
+    angles = index.rows.select("cell", "v").mapInArrow(_angles(index.centroids), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("reach"))
+    reach = np.full(len(index.centroids), -1.0)
+    for r in angles.collect():
+        reach[r["cell"]] = r["reach"] + 1e-9
+    return reach
+
+
 def pairs_over(index: Index, least: float) -> DataFrame:
     """a, b, similarity of all pairs of rows, a < b, with a cosine of ``least`` (above zero) at least. Exact: no pair is lost.
 
@@ -261,10 +282,7 @@ def pairs_over(index: Index, least: float) -> DataFrame:
         raise ValueError("least must be above zero")
     spark, width = index.rows.sparkSession, index.centroids.shape[1]
     ship_package(spark)
-    angles = index.rows.select("cell", "v").mapInArrow(_angles(index.centroids), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("reach"))
-    reach = np.full(len(index.centroids), -1.0)
-    for r in angles.collect():  # a row for each cell
-        reach[r["cell"]] = r["reach"] + 1e-9
+    reach = reach_of(index)
     kind = index.rows.schema["id"].dataType.simpleString()
     visiting = index.rows.select("id", "v", "tag").mapInArrow(_cells_within(index.centroids, reach, least), f"id {kind}, v array<double>, tag string, cells array<int>")
     visiting = cut(visiting.select("id", "v", "tag", F.explode("cells").alias("cell")))

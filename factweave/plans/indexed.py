@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -68,25 +67,10 @@ def density_members(rows, k, core, least, merge, attach):
     index = I.choose_visits(index, every, k, 0.95)
     near = I.search(index, every, k, index.visits).select("query_id", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), "rank")
     found = cut(density.density_clusters(density.mutual_reachability(cut(near), core), least))
-    members = index.rows.select("id", "v").join(found.filter("cluster is not null").withColumnRenamed("node", "id"), "id")
-    # One row for each cluster, which has ``least`` rows at least; merging goes from the smallest name on, as centroids move with it.
-    of = sorted(density.centroids_of(members).collect(), key=lambda r: r["cluster"])
-    names, centres, sizes, into = [], [], [], {}
-    for r in of:
-        own = np.array(r["centroid"])
-        for i, c in enumerate(centres):
-            if float(own @ c) / (np.linalg.norm(c) or 1.0) >= merge:
-                centres[i] = (c * sizes[i] + own * r["n"]) / (sizes[i] + r["n"])
-                sizes[i] += r["n"]
-                into[r["cluster"]] = names[i]
-                break
-        else:
-            names.append(r["cluster"]), centres.append(own), sizes.append(r["n"])
-    if into:
-        moved = F.create_map(*[F.lit(x) for kv in into.items() for x in kv])
-        found = found.withColumn("cluster", F.coalesce(F.element_at(moved, F.col("cluster")), F.col("cluster")))
-    unit = I.unit(np.array(centres)) if centres else np.zeros((0, 1))
-    return density.attach_noise(index.rows.select("id", "v"), found, unit, names, attach)
+    members = lambda of: index.rows.select("id", "v").join(of.filter("cluster is not null").withColumnRenamed("node", "id"), "id")
+    joined = cut(density.merge_alike(found, cut(density.centroids_of(members(found))), merge))
+    centres = cut(density.centroids_of(members(joined)))
+    return density.attach_noise(index.rows.select("id", "v"), joined, centres, attach)
 
 
 @query("density_facets", [269])

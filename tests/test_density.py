@@ -120,6 +120,11 @@ def test_noise_near_a_centroid_is_attached(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.8, 0.2]), (4, [-1.0, 0.0]), (5, [0.0, 0.0])], "id long, v array<double>")
     clusters = spark.createDataFrame([(1, 1), (2, 1), (3, None), (4, None), (5, None)], "node long, cluster long")
     centres = D.centroids_of(rows.join(clusters.filter("cluster is not null"), F.col("id") == F.col("node")).select("cluster", "v"))
-    found = centres.collect()
-    got = {r.id: (r.cluster, r.attached) for r in D.attach_noise(rows, clusters, np.array([r.centroid for r in found]), [r.cluster for r in found], 0.87).collect()}
+    got = {r.id: (r.cluster, r.attached) for r in D.attach_noise(rows, clusters, centres, 0.87).collect()}
     assert got == {1: (1, False), 2: (1, False), 3: (1, True), 4: (None, False), 5: (None, False)}
+
+
+def test_clusters_with_like_centroids_are_joined(spark):
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (7, 7), (9, None)], "node long, cluster long")
+    centres = spark.createDataFrame([(1, [1.0, 0.0]), (5, [0.99, 0.05]), (7, [0.0, 1.0])], "cluster long, centroid array<double>")
+    assert {r.node: r.cluster for r in D.merge_alike(clusters, centres, 0.95).collect()} == {1: 1, 2: 1, 5: 1, 7: 7, 9: None}
