@@ -2,9 +2,9 @@
 
 A round works out, for every node, what its edges weigh towards each
 neighbouring community and where modularity gains most, smallest community first. Of
-neighbours that would gain, only the one that gains most moves in a round (of
-equal ones that with the smallest id), and of two single nodes only the larger
-id, so that neighbours don't change places for ever. The best labels of a level
+the nodes that would gain, those move whose id and round hash to an even number,
+about half, and of two single nodes only the larger id, so that neighbours don't
+change places for ever. The best labels of a level
 go on to the next one; at last single nodes move once more on the whole graph.
 Each round is joins and aggregates on edges and nodes; no node's edges are
 listed.
@@ -23,6 +23,7 @@ LEAST_GAIN = 1e-9
 
 def giant_component(edges: DataFrame) -> DataFrame:
     """The edges of the component with the most nodes; of equal ones the one with the smallest node."""
+    edges = cut(edges)
     parts = components(edges)
     largest = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     inside = parts.join(largest, "component", "left_semi").select(F.col("node").alias("src"))
@@ -44,7 +45,7 @@ def modularity(both: DataFrame, labels: DataFrame) -> float:
     return r["inside"] / r["m"] - r["squares"] / r["m"] ** 2 if r["m"] else 0.0
 
 
-def _round(both: DataFrame, state: DataFrame, m: float) -> tuple[DataFrame, DataFrame]:
+def _round(both: DataFrame, state: DataFrame, m: float, turn: int) -> tuple[DataFrame, DataFrame]:
     """What the nodes of state (node, community, k, loop) wish for, written, and the state after this round.
 
     own: what the node's edges weigh within its community; could: whether it would gain by moving.
@@ -62,11 +63,9 @@ def _round(both: DataFrame, state: DataFrame, m: float) -> tuple[DataFrame, Data
     )
     gain = F.round(-F.col("best.v") - (F.col("own") - F.col("k") * (F.col("total") - F.col("k")) / m), 9)
     could = F.coalesce(gain > LEAST_GAIN, F.lit(False))
-    wish = cut(best.select("node", "community", "k", "loop", (F.col("own") + 2 * F.col("loop")).alias("own"), F.col("best.c").alias("to"), could.alias("could"), F.struct((-gain).alias("g"), "node").alias("mine")))
-    rivals = both.join(wish.filter("could").select(F.col("node").alias("dst"), "mine"), "dst").groupBy(F.col("src").alias("_n")).agg(F.min("mine").alias("rival"))
-    moves = F.col("could") & (F.col("rival").isNull() | (F.col("mine") < F.col("rival")))
-    seen = wish.join(rivals, wish["node"] == rivals["_n"], "left")
-    return wish, seen.select("node", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loop")
+    wish = cut(best.select("node", "community", "k", "loop", (F.col("own") + 2 * F.col("loop")).alias("own"), F.col("best.c").alias("to"), could.alias("could")))
+    moves = F.col("could") & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+    return wish, wish.select("node", F.when(moves, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loop")
 
 
 def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFrame, float]:
@@ -75,15 +74,15 @@ def local_moving(both: DataFrame, state: DataFrame, rounds: int) -> tuple[DataFr
     best, best_q, since = state, -1.0, 0
     if not m:
         return best, 0.0
-    for _ in range(rounds):
-        wish, after = _round(both, state, m)
+    for turn in range(rounds):
+        wish, after = _round(both, state, m, turn)
         sums = wish.groupBy("community").agg(F.sum("own").alias("own"), F.sum("k").alias("k"), F.count_if("could").alias("could"))
         r = sums.agg((F.sum("own") / m - F.sum(F.col("k") * F.col("k")) / (m * m)).alias("q"), F.sum("could").alias("could")).first()
         if r["q"] > best_q + LEAST_GAIN:
             best, best_q, since = wish.select("node", "community", "k", "loop"), r["q"], 0
         else:
             since += 1
-        if not r["could"] or since > 1:
+        if not r["could"] or since > 2:
             break
         state = after
     return best, best_q

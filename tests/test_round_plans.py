@@ -1,8 +1,9 @@
-"""Operators that work in rounds: plans don't grow from round to round."""
+"""Operators that work in rounds: plans don't grow from round to round, and rounds move much."""
 
 import random
 
-from factweave.operators import graph
+from factweave.operators import graph, louvain
+from pyspark.sql import functions as F
 
 
 def test_components_keep_no_constraints_of_earlier_rounds(spark):
@@ -13,3 +14,11 @@ def test_components_keep_no_constraints_of_earlier_rounds(spark):
     assert sorted(map(tuple, found.collect())) == [(n, 0) for n in range(200)]
     # a checkpoint kept them, and they doubled until the driver had no memory left
     assert found._jdf.queryExecution().optimizedPlan().constraints().size() <= 10
+
+
+def test_many_nodes_of_a_clique_move_in_a_louvain_round(spark):
+    clique = [(a, b, 1.0) for a in range(40) for b in range(a + 1, 40)]
+    both = louvain.both_ways(spark.createDataFrame(clique, "src long, dst long, weight double"))
+    state = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select("node", F.col("node").alias("community"), "k", F.lit(0.0).alias("loop"))
+    found, _ = louvain.local_moving(both, state, 2)
+    assert found.filter("node != community").count() >= 10  # of a neighbourhood one node moved
