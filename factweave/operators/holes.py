@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .graph import written
 
+#: Links of nodes that one task keeps (a node with more keeps its own).
+LINKS = 1 << 19
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """a, b, w: each two linked nodes once, a < b, with the sum of their edges' weights; loops are left out."""
@@ -32,24 +40,113 @@ def triangles(pairs: DataFrame) -> DataFrame:
     return wedge.join(closed, ["y", "z"]).select(F.col("low").alias("x"), "y", "z")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """block, step, is, js, ps of rows sorted by block and step; the rows of a step are put together over batches."""
+    held: list[tuple] = []
+    key = None
+    for batch in batches:
+        block, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        i, j, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+        if not block.size:
+            continue
+        cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(q) != 0)) + 1).tolist(), block.size]
+        for s, e in zip(cuts, cuts[1:]):
+            now = (int(block[s]), int(q[s]))
+            if key is not None and now != key:
+                yield (*key, *(np.concatenate(c) for c in zip(*held)))
+                held = []
+            key = now
+            held.append((i[s:e], j[s:e], p[s:e]))
+    if held:
+        yield (*key, *(np.concatenate(c) for c in zip(*held)))
+
+
+def _through_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each link (i, j) of a block how many nodes q both have, and the sum of p_iq * p_qj; the rows of q come one after another."""
+
+    def done() -> Iterator[pa.RecordBatch]:
+        seen = np.flatnonzero(common)
+        for s in range(0, seen.size, 1 << 16):
+            at = seen[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(j[at]), pa.array(more[at]), pa.array(common[at])], names=["i", "j", "more", "common"])
+
+    block = None
+    for b, step, us, js, ps in _rows(batches):
+        if b != block:  # the block's own links come first
+            if block is not None:
+                yield from done()
+            block, order = b, np.lexsort((js, us))
+            i, j, p = us[order], js[order], ps[order]
+            more, common = np.zeros(i.size), np.zeros(i.size, np.int64)
+            nodes, col = np.unique(j, return_inverse=True)
+            first = np.searchsorted(i, i, "left")
+            last = np.searchsorted(i, i, "right")
+            by_col = np.argsort(col, kind="stable")
+            starts = np.searchsorted(col[by_col], np.arange(nodes.size + 1))
+            dense = np.zeros(nodes.size)
+            continue
+        q = us[0]
+        place = int(np.searchsorted(nodes, q))
+        at = np.minimum(np.searchsorted(nodes, js), nodes.size - 1)
+        fits = nodes[at] == js
+        at, ps = at[fits], ps[fits]
+        if not at.size or place == nodes.size or nodes[place] != q:
+            continue
+        dense[at] = ps
+        for e in by_col[starts[place] : starts[place + 1]].tolist():
+            s, t = first[e], last[e]
+            if 8 * at.size < t - s:  # few links of q among many of i
+                own = s + np.minimum(np.searchsorted(col[s:t], at), t - s - 1)
+                hit = own[col[own] == at]
+                more[hit] += p[e] * dense[col[hit]]
+                common[hit] += 1
+            else:
+                got = dense[col[s:t]]
+                more[s:t] += p[e] * got
+                common[s:t] += got > 0
+        dense[at] = 0
+    if block is not None:
+        yield from done()
+
+
+def through_common(share: DataFrame) -> DataFrame:
+    """i, j, more, common of the links (i, j) of share (i, j, p above zero, in both directions) whose ends have common neighbours q.
+
+    more is the sum of p_iq * p_qj. Nodes (longs) are dealt to blocks of about
+    LINKS links by the order of their ids. A task keeps its block's links, and
+    the links of the nodes that these lead to pass by, node by node; so a link
+    is sent once to each block that its first node has a neighbour in, and no
+    triangles or pairs of links are listed. Of two ends the one with few links
+    sets the work.
+    """
+    ship_package(share.sparkSession)
+    blocks = -(-share.count() // LINKS)
+    cuts = share.agg(F.percentile_approx("i", [k / blocks for k in range(1, blocks)], 10000).alias("c")).first()["c"] if blocks > 1 else []
+    cuts = sorted(set(cuts or []))
+    numbered = share.withColumn("block", F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("i"))) if cuts else F.lit(0))
+    asked = numbered.select("block", F.col("j").alias("q")).distinct()
+    own = numbered.select("block", F.lit(None).cast("long").alias("q"), "i", "j", "p")
+    passing = share.withColumnRenamed("i", "q").join(asked, "q").select("block", F.col("q").alias("q"), F.col("q").alias("i"), "j", "p")
+    side = own.withColumn("side", F.lit(0)).unionAll(passing.withColumn("side", F.lit(1)))
+    # a block's own links have step -1, so that they are one run and come first
+    dealt = side.repartition(max(len(cuts) + 1, 1), "block").sortWithinPartitions("block", "side", "q")
+    step = F.when(F.col("side") == 0, F.lit(-(1 << 63))).otherwise(F.col("q"))
+    return dealt.select("block", step.cast("long").alias("step"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "p").mapInArrow(_through_batches, "i long, j long, more double, common long")
+
+
 def structural_holes(edges: DataFrame) -> DataFrame:
     """node, neighbours, triangles, clustering, constraint (Burt's) of the undirected graph of edges (src, dst, weight).
 
     A node's constraint is the sum, over its neighbours j, of the square of its
     share with j plus what reaches j through common neighbours: the lower it
     is, the more the node stands between parts that are not linked. What goes
-    through common neighbours comes from triangles alone.
+    through common neighbours is summed block by block (through_common).
     """
     pairs = written(undirected(edges))
-    found = written(triangles(pairs))
     both = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), "w").unionAll(pairs.select(F.col("b").alias("i"), F.col("a").alias("j"), "w"))
     total = both.groupBy("i").agg(F.sum("w").alias("total"), F.count("*").alias("neighbours"))
     share = written(both.join(total, "i").select("i", "j", (F.col("w") / F.col("total")).alias("p")))
-    orders = [("x", "y", "z"), ("x", "z", "y"), ("y", "x", "z"), ("y", "z", "x"), ("z", "x", "y"), ("z", "y", "x")]
-    turns = F.explode(F.array(*[F.struct(F.col(i).alias("i"), F.col(q).alias("q"), F.col(j).alias("j")) for i, q, j in orders])).alias("t")
-    through = found.select(turns).select("t.*").join(share.select("i", F.col("j").alias("q"), F.col("p").alias("p_iq")), ["i", "q"])
-    through = through.join(share.select(F.col("i").alias("q"), "j", F.col("p").alias("p_qj")), ["q", "j"])
-    indirect = through.groupBy("i", "j").agg(F.sum(F.col("p_iq") * F.col("p_qj")).alias("more"), F.count("*").alias("common"))
+    indirect = through_common(share)
     one = share.join(indirect, ["i", "j"], "left")
     part = F.col("p") + F.coalesce("more", F.lit(0.0))
     sums = one.groupBy(F.col("i").alias("node")).agg(F.count("*").alias("neighbours"), F.sum(F.coalesce("common", F.lit(0))).alias("twice"), F.sum(part * part).alias("constraint"))

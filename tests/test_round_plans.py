@@ -2,7 +2,7 @@
 
 import random
 
-from factweave.operators import graph, louvain
+from factweave.operators import graph, holes, louvain
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,23 @@ def test_many_nodes_of_a_clique_move_in_a_louvain_round(spark):
     state = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select("node", F.col("node").alias("community"), "k", F.lit(0.0).alias("loop"))
     found, _ = louvain.local_moving(both, state, 2)
     assert found.filter("node != community").count() >= 10  # of a neighbourhood one node moved
+
+
+def test_common_neighbours_by_blocks_as_plain(spark, monkeypatch):
+    rng = random.Random(8)
+    near = {n: {} for n in range(90)}
+    for a in range(90):
+        for b in range(a):
+            if a == 0 or b == 0 or rng.random() < (0.3 if a % 9 == b % 9 else 0.08):  # node 0 is a hub
+                near[a][b], near[b][a] = rng.random() + 0.1, rng.random() + 0.1
+    want = {}
+    for i in near:
+        for j in near[i]:
+            common = near[i].keys() & near[j].keys()
+            if common:
+                want[i, j] = (round(sum(near[i][q] * near[q][j] for q in common), 9), len(common))
+    share = spark.createDataFrame([(i, j, p) for i in near for j, p in near[i].items()], "i long, j long, p double").repartition(3)
+    for links in (40, 1 << 19):
+        monkeypatch.setattr(holes, "LINKS", links)
+        got = holes.through_common(share).collect()
+        assert len(got) == len(want) and {(r.i, r.j): (round(r.more, 9), r.common) for r in got} == want
