@@ -1,10 +1,14 @@
-"""Operators that work in rounds: plans don't grow from round to round, and rounds move much."""
+"""Plans and rounds: plans don't grow from round to round, rounds move much, and rows are parsed once."""
 
 import random
 
-from factweave.operators import graph, holes, louvain
+from factweave.operators import graph, holes, louvain, values
+from factweave.plans import registry
 from pyspark.sql import functions as F
 
+registry.load()
+SF = "/root/testdata/sf0.001"
+
 
 def test_components_keep_no_constraints_of_earlier_rounds(spark):
     nodes = list(range(200))
@@ -42,3 +46,20 @@ def test_common_neighbours_by_blocks_as_plain(spark, monkeypatch):
         monkeypatch.setattr(holes, "LINKS", links)
         got = holes.through_common(share).collect()
         assert len(got) == len(want) and {(r.i, r.j): (round(r.more, 9), r.common) for r in got} == want
+
+
+def patterns(df):
+    """How often the executed plan names the first pattern that a kind is told by."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("at most|no more than")
+
+
+def test_the_kind_is_told_once(spark):
+    own = spark.createDataFrame([("at most 3,5 kg",), ("7 mm",), ("one of 1, 2",), (None,)], "t string").select(values.parse(F.col("t")).alias("v"))
+    assert [(r.kind, r.low, r.high, r.unit) if r.kind else None for r in own.select("v.*").collect()] == [
+        ("at_most", None, 3.5, "kg"), ("scalar", 7.0, 7.0, "mm"), ("set", None, None, None), None]
+    assert patterns(own.groupBy("v.kind").agg(F.max("v.high"), F.max("v.low"), F.max("v.unit"))) <= 2  # to tell the kind, and to read the number
+
+
+def test_statements_are_parsed_once(spark):
+    for name in ("typed_comparison", "value_contradiction_filter", "verdict_aggregation", "answer_level_checks"):
+        assert patterns(registry.QUERIES[name](spark, SF)) <= 2, name
