@@ -1,22 +1,23 @@
-"""Near duplicates of word shingles at a stated similarity, by fingerprints that cover every pair within it.
-
-A SimHash of 64 bits can't carry a similarity of 0.8: such pairs differ in
-about 10 bits, give or take 3, and masks that cover 16 bits would take 131,071
-tables. So the masks cover the shingles themselves. Take a text's set of n
-shingles as a bit vector over all shingles, its bits in one order that is the
-same for all texts. Of a pair within similarity s, each has at most n -
-ceil(s * n) bits that the other lacks; so among the first n - ceil(s * n) + 1
-bits of each, masks of one bit each, there is one that both have: every pair
-within the radius meets in the table of some mask (a prefix filter). The order
-is by rarity, from a sketch of counts over all texts, so that a passage that a
+"""Near duplicates of word shingles at a stated similarity: SimHash with covering masks, then an exact way for the rest.
+
+Each text's set of shingles has a SimHash. Covering masks (covering.py) find
+all pairs whose fingerprints differ in RADIUS bits at most; of these, the sets
+decide which are links. A SimHash of 64 bits can't carry a similarity of 0.8
+alone: such pairs differ in about 10 bits, give or take 3, and masks that cover
+16 bits would take 131,071 tables. So what the fingerprints have not joined is
+looked for by prefixes of the sets. Take all shingles in one order: a pair
+within similarity s, of sets of n shingles, has at most n - ceil(s * n) in each
+that the other lacks, so among the first n - ceil(s * n) + 1 of each there is
+one that both have, and the pair meets in that shingle's table. The order is
+by rarity, from a sketch of counts over all texts, so that a passage that a
 third of the texts share comes last and makes no large tables.
 
 Within the tables pairs are not listed. Each text carries a second
 fingerprint, the parities of its shingles in 512 bins: two texts' fingerprints
 differ in no more bits than their sets do, so a pair that differs in more bits
 than its sizes allow is out. Texts are first compared with the most typical
-text of their tables; what is similar to it is one component, and only pairs
-across components are looked at afterwards. Every link is decided by the sets
+text of their tables, unless the SimHash has joined them; what is similar to it
+is one component, and only pairs across components are looked at afterwards. Every link is decided by the sets
 themselves.
 """
 
@@ -34,9 +35,13 @@ from pyspark.sql.types import StructType
 
 from .common import materialize, quoted, small_batches
 from .components import connected_components
+from .covering import majority, near_edges
 
 #: Counters of the sketch by which shingles are ordered from rare to frequent.
 COUNTERS = 1 << 16
+#: Bits in which SimHash fingerprints may differ for the masks to find them; a bucket of more fingerprints than SMALL is dealt again.
+RADIUS = 3
+SMALL = 128
 #: Bits of the parity fingerprint.
 PARITIES = 512
 SEED = 7
@@ -86,7 +91,7 @@ def signature(found: np.ndarray, seen: np.ndarray, tenths: int) -> tuple[np.ndar
     return prefix, float(np.log1p(common).mean()), np.packbits(np.bincount(bins, minlength=PARITIES) & 1).tobytes()
 
 
-SIGNED = "rid long, n int, typical double, parity binary, prefix array<long>"
+SIGNED = "rid long, n int, typical double, parity binary, fp long, prefix array<long>"
 
 
 def signatures(rows: DataFrame, width: int, tenths: int) -> DataFrame:
@@ -94,16 +99,17 @@ def signatures(rows: DataFrame, width: int, tenths: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, typical, parity, prefix = [], [], [], []
+            sizes, typical, parity, prints, prefix = [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), width)
                 first, mean, bits = signature(found, seen, tenths)
                 sizes.append(found.size)
                 typical.append(mean)
                 parity.append(bits)
+                prints.append(majority(found))
                 prefix.append(first.view(np.int64))
-            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(typical, pa.float64()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "n", "typical", "parity", "prefix"])
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(typical, pa.float64()), pa.array(parity, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "n", "typical", "parity", "fp", "prefix"])
 
     return rows.select("rid", "text").mapInArrow(sign, SIGNED)
 
@@ -113,6 +119,16 @@ def may_be_similar(na, nb, tenths: int):
     return (10 * F.least(na, nb)) >= (tenths * F.greatest(na, nb))
 
 
+def print_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs a, b of texts (signed: rid, fp) by their fingerprints: the first texts of fingerprints that differ in 1 to RADIUS bits, and each other text with the first of its own."""
+    least = materialize(signed.groupBy("fp").agg(F.min("rid").alias("first"), F.count("*").alias("texts")), "distinct-prints")
+    ends = lambda c: least.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    edges = near_edges(least, RADIUS, SMALL).distinct()
+    apart = edges.join(ends("u"), "u").join(ends("v"), "v").select("first_u", "first_v")
+    same = signed.select("rid", "fp").join(least.filter("texts > 1"), "fp").filter("rid != first").select("first", "rid")
+    return apart.unionAll(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def parities(found: np.ndarray) -> bytes:
     """The parities of a set's members in at least four bins for each; halves of it, one upon the other, are its parities in half as many bins."""
     bins = max(64, 1 << int(4 * found.size - 1).bit_length())
@@ -250,6 +266,10 @@ def similar_groups(docs: DataFrame, key: str, text_col: str = "text", width: int
     rid = own["n"] if isinstance(kind, StructType) else F.coalesce(own, F.lit(-(1 << 63)))
     rows = docs.select(rid.alias("rid"), F.col(text_col).alias("text"))
     signed = materialize(signatures(rows, width, tenths), "signatures")
+    prints = allowed(materialize(print_pairs(signed), "print-pairs"), signed, tenths)
+    joined = materialize(similar(materialize(prints, "near-prints"), rows, width, tenths), "print-links")
+    known = materialize(connected_components(joined), "print-components")
+
     masks = signed.select(F.explode("prefix").alias("mask"), "rid", "n", "typical")
     shared = materialize(masks.groupBy("mask").agg(F.count("*").alias("texts")).filter("texts > 1").select("mask"), "shared-masks")
     met = materialize(masks.join(shared, "mask", "left_semi"), "met-texts")
@@ -259,10 +279,10 @@ def similar_groups(docs: DataFrame, key: str, text_col: str = "text", width: int
     asked = met.join(typical, "mask").filter("rid != top").filter(may_be_similar(F.col("n"), F.col("top_n"), tenths)).groupBy("rid", "top").agg(F.count("*").alias("times"))
     place = Window.partitionBy("rid").orderBy(F.desc("times"), "top")
     asked = asked.withColumn("place", F.row_number().over(place)).filter("place <= 2").select(F.least("rid", "top").alias("a"), F.greatest("rid", "top").alias("b")).distinct()
-    sides = lambda c: signed.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
-    both = asked.join(sides("a"), "a").join(sides("b"), "b")
-    near = both.filter((10 + tenths) * bits_between(F.col("p_a"), F.col("p_b")) <= (10 - tenths) * (F.col("n_a") + F.col("n_b")))
-    stars = materialize(similar(materialize(near.select("a", "b"), "star-pairs"), rows, width, tenths), "star-links")
+    comp = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+    open_ = asked.join(comp("a"), "a", "left").join(comp("b"), "b", "left").filter(F.coalesce(F.col("comp_a") != F.col("comp_b"), F.lit(True))).select("a", "b")
+    stars = similar(materialize(allowed(open_, signed, tenths), "star-pairs"), rows, width, tenths)
+    stars = materialize(stars.unionByName(joined), "star-links")
     parts = connected_components(stars).select(F.col("node").alias("rid"), F.col("component").alias("comp"))
 
     pairs = materialize(across_components(met, signed, materialize(parts, "star-components"), tenths), "pairs-across")
@@ -275,6 +295,13 @@ def similar_groups(docs: DataFrame, key: str, text_col: str = "text", width: int
     return of.join(least, "comp").select("key", "component")
 
 
+def allowed(pairs: DataFrame, signed: DataFrame, tenths: int) -> DataFrame:
+    """Those of the pairs a, b whose parity fingerprints differ in no more bits than sets within the similarity can in members."""
+    sides = lambda c: signed.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = pairs.join(sides("a"), "a").join(sides("b"), "b")
+    return both.filter((10 + tenths) * bits_between(F.col("p_a"), F.col("p_b")) <= (10 - tenths) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def bits_between(a, b):
     """How many bits of two fingerprints differ, four bytes at a time."""
     word = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("long")

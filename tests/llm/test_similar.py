@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from factweave.llm import similar, simhash
+from factweave.llm import covering, similar, simhash
 from test_core_operators import low
 
 
@@ -115,3 +115,25 @@ def test_parities_of_any_sizes_differ_no_more_than_the_sets():
         assert similar.parities_differ(similar.parities(a), similar.parities(a)) == 0
         if min(sizes) > 500:  # and tells most differing members apart
             assert differing > 0.7 * np.setxor1d(a, b).size
+
+
+def test_simhash_finds_links_before_the_prefixes(spark):
+    """Links of fingerprints within the radius, by brute force, are among the pairs that the masks give; all links come out in the end."""
+    texts = dict(enumerate(near_copies(5)))
+    prints = {i: covering.majority(similar.shingles(t, 5)) for i, t in texts.items()}
+    signed = spark.createDataFrame([(i, covering.signed(p)) for i, p in prints.items()], "rid long, fp long")
+    got = {(r.a, r.b) for r in similar.print_pairs(signed).collect()}
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= similar.RADIUS for a, b in got)
+    first = {p: min(i for i in prints if prints[i] == p) for p in prints.values()}
+    want = {(min(first[p], first[q]), max(first[p], first[q])) for p in first for q in first if p < q and (p ^ q).bit_count() <= similar.RADIUS}
+    want |= {(first[p], i) for i, p in prints.items() if first[p] != i}
+    assert got == want and len(got) > 30
+    groups = plain_groups(texts)
+    assert sum(groups[a] == groups[b] for a, b in got) > 30
+
+
+def test_many_fingerprints_in_one_bucket_at_the_stages_radius(spark):
+    rnd = random.Random(8)
+    fps = sorted({rnd.getrandbits(12) | 7 << 40 for _ in range(700)})
+    got = {(r.u, r.v) for r in covering.near_edges(spark.createDataFrame([(f,) for f in fps], "fp long"), similar.RADIUS, similar.SMALL).distinct().collect()}
+    assert {tuple(sorted(p)) for p in got} == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= similar.RADIUS}
