@@ -30,3 +30,12 @@ def test_question_anchors_meet_by_class(spark, tmp_path):
         assert len(rows) == questions // 20 * 3
         sizes.append(size)
     assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_window_co_occurrence_sums_pairs_before_they_shuffle(spark, tmp_path):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}longword" for i in range(60)]
+    spark.range(400).select(F.col("id").alias("doc_id"), F.lit(" ".join(words)).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, size = shuffled(spark, "window_co_occurrence", str(tmp_path))
+    assert len(rows) == sum(min(30, 59 - i) for i in range(60))
+    assert all(r.docs == r.times == 400 for r in rows)
+    assert size < 1_000_000  # a few rows a pair and task, not one for each document's pair
