@@ -112,13 +112,17 @@ def entity_mentions(spark, sf_dir):
 @query("claim_chunk_bridge", [63], f"""WITH {CLAIMS_SQL}, c AS (SELECT doc_id, i, substr(text, 1 + i * 1300, 1500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 200) / 1300.0))::BIGINT)) AS i FROM documents))
 SELECT doc_id, pos::BIGINT AS pos, coalesce((SELECT min(i) FROM c WHERE c.doc_id = claims.doc_id AND contains(lower(chunk), lower(claim_text))), -1)::BIGINT AS chunk FROM claims""")
 def claim_chunk_bridge(spark, sf_dir):
-    """The first chunk of its document that holds a sentence: each document's chunks are cut from its own text, in its own row."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0))).alias("pos", "raw"))
-    own = docs.select("doc_id", F.col("pos").cast("long").alias("pos"), "low", F.trim("raw").alias("claim")).filter(F.length("claim") >= 10)
-    last = F.greatest(F.lit(1), F.ceil((F.length("low") - 200) / 1300.0)) - 1
-    chunks = F.sequence(F.lit(0), last.cast("int"))
-    found = F.filter(chunks, lambda i: F.contains(F.substr("low", 1 + i * 1300, F.lit(1500)), F.lower("claim")))
-    return own.select("doc_id", "pos", F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(-1)).cast("long").alias("chunk"))
+    """The first chunk of its document that holds a sentence: each document's chunks are cut from its own text, in its own row.
+
+    Chunks are cut once for a document, below a generator of one row, and no sentence's row carries them.
+    """
+    last = F.greatest(F.lit(1), F.ceil((F.length("text") - 200) / 1300.0)) - 1
+    chunks = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.lower(F.substr("text", 1 + i * 1300, F.lit(1500))))
+    said = F.transform(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda x: F.struct(F.length(F.trim(x)).alias("n"), F.lower(F.trim(x)).alias("claim")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(chunks.alias("chunks"), said.alias("said")))).alias("d"))
+    place = lambda x: F.array_position(F.transform("d.chunks", lambda c: F.contains(c, x["claim"])), True)
+    own = docs.select("doc_id", F.posexplode(F.transform("d.said", lambda x: F.when(x["n"] >= 10, place(x)))).alias("pos", "holds")).filter("holds is not null")
+    return own.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.col("holds") - 1).alias("chunk"))
 
 
 @query("procedure_links", [64])

@@ -1,5 +1,7 @@
 """What queries shuffle or take as their tables grow."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from factweave.plans import registry
@@ -39,3 +41,14 @@ def test_window_co_occurrence_sums_pairs_before_they_shuffle(spark, tmp_path):
     assert len(rows) == sum(min(30, 59 - i) for i in range(60))
     assert all(r.docs == r.times == 400 for r in rows)
     assert size < 1_000_000  # a few rows a pair and task, not one for each document's pair
+
+
+def test_claim_chunk_bridge_on_a_long_document(spark, tmp_path):
+    said = [f"This is the sentence with number {i:05d} of a long document." for i in range(6_000)]
+    spark.createDataFrame([(1, " ".join(said))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    rows = {r.pos: r.chunk for r in registry.QUERIES["claim_chunk_bridge"](spark, str(tmp_path)).collect()}
+    assert time.time() - start < 30
+    size = len(said[0])
+    first = lambda at: next(c for c in range(400) if c * 1300 <= at and at + size <= c * 1300 + 1500)
+    assert rows == {i: first(i * (size + 1)) for i in range(6_000)}
