@@ -124,15 +124,21 @@ def node_of(time: Column, level: Column) -> Column:
     return F.floor(time / F.call_function("shiftleft", F.lit(1).cast("long"), level)).cast("long")
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, levels: int = LEVELS) -> DataFrame:
+#: Right rows of a key up to which its rows meet one another by the key alone; those of more frequent keys meet by the tree.
+FEW = 256
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, levels: int = LEVELS, few: int = FEW) -> DataFrame:
     """Pairs of a left and a right row of equal keys whose validities [start, end) share a moment, each pair once; left and right as structs.
 
     start, end: whole numbers not below zero and under 2^levels; a null start
     is the beginning, a null end is open. Of two that overlap, one begins while
     the other holds: an equi-join of a moment's tree nodes with an interval's,
     of which exactly one meets. An interval is a few dozen rows however long it
-    is; no rows are paired but those of the result. Empty validities meet
-    nothing; rows with a null key neither.
+    is; no rows are paired but those of the result. So many rows only pay where
+    a key is frequent: keys with up to ``few`` right rows meet by an equi-join
+    on the key, which compares a left row with ``few`` others at most. Empty
+    validities meet nothing; rows with a null key neither.
     """
     most = 1 << levels
     begin, until = F.coalesce(F.col(start), F.lit(0)).cast("long"), F.coalesce(F.col(end), F.lit(most)).cast("long")
@@ -141,6 +147,12 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: s
     points = lambda df: df.select("*", level).withColumn("place", node_of(F.col("_s"), F.col("level"))).drop("_s", "_e")
     spans = lambda df: df.select("*", F.explode(tree_nodes(F.col("_s"), F.col("_e"), levels)).alias("_n")).select("*", "_n.level", "_n.place").drop("_n", "_e")
     a, b = shape(left, "left"), shape(right, "right")
+    many = written(right.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > few).select(*keys))
+    rare, by_key = a.join(many, keys, "left_anti"), b.withColumnsRenamed({"_s": "_s2", "_e": "_e2"})
+    direct = rare.join(by_key, list(keys)).filter("_s < _e2 and _s2 < _e").select("left", "right")
+    if many.isEmpty():
+        return direct
+    a, b = a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi")
     on = [*keys, "level", "place"]
     # Levels that no interval of the other side uses meet nothing; they are left out before the points are dealt.
     used = lambda df: df.select("level").distinct()
@@ -149,4 +161,4 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: s
     earlier = points(a).join(used(sb), "level", "left_semi").join(sb, on)
     # Equal beginnings are found both ways: they count where the right row begins within the left one.
     earlier = earlier.filter(F.coalesce(F.col(f"left.{start}"), F.lit(0)).cast("long") > F.col("_s")).select("left", "right")
-    return later.unionByName(earlier)
+    return direct.unionByName(later).unionByName(earlier)

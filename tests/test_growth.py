@@ -1,9 +1,13 @@
 """What queries shuffle or take as their tables grow."""
 
+import random
+import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from factweave.operators import temporal
 from factweave.plans import registry
 
 registry.load()
@@ -52,3 +56,37 @@ def test_claim_chunk_bridge_on_a_long_document(spark, tmp_path):
     size = len(said[0])
     first = lambda at: next(c for c in range(400) if c * 1300 <= at and at + size <= c * 1300 + 1500)
     assert rows == {i: first(i * (size + 1)) for i in range(6_000)}
+
+
+def test_verbatim_spans_counts_quotes_that_do_not_overlap(spark, tmp_path):
+    texts = [(5, "aXa-aXa-aXa. Once only here. aXa-aXa-aXa. end of it all. and end of it all. "), (10, "ab ab ab ab ab ab. ab ab ab ab. No more.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = dict(texts)
+    for r in registry.QUERIES["verbatim_spans"](spark, str(tmp_path)).collect():
+        said = [m.strip() for m in re.findall(r"[^.!?\n]+[.!?]?", by[r.doc_id])][r.pos]
+        n = by[r.doc_id].count(said)
+        assert (r.status, r.char_start, r.quality) == ("exact", by[r.doc_id].index(said), "unique" if n == 1 else "ambiguous")
+
+
+@pytest.mark.parametrize("few", [0, 3, 256])
+def test_overlapping_by_key_and_by_tree(spark, few):
+    rnd = random.Random(few)
+    side = lambda n: [(i, rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, *range(40)]), rnd.choice([None, *range(60)])) for i in range(n)]
+    left, right = side(60), side(50)
+    frames = [spark.createDataFrame(x, "id long, k long, s long, e long") for x in (left, right)]
+    got = sorted((r.left.id, r.right.id) for r in temporal.overlapping(*frames, ["k"], "s", "e", 16, few).collect())
+    begin, until = lambda x: x[2] or 0, lambda x: 1 << 16 if x[3] is None else x[3]
+    holds = lambda x: begin(x) < until(x)
+    want = sorted((x[0], y[0]) for x in left for y in right if x[1] is not None and x[1] == y[1] and holds(x) and holds(y) and begin(x) < until(y) and begin(y) < until(x))
+    assert got == want
+
+
+def test_overlapping_offers_shuffles_a_line_once(spark, tmp_path):
+    rows = [(i, 1, i % 200, i % 7, i % 11 / 100, "N" if i % 2 else "R", float(i % 50 + 1)) for i in range(8_000)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_discount double, l_returnflag string, l_quantity double")
+    lines.withColumn("l_shipdate", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("l_orderkey") % 900).cast("int"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, "overlapping_offers", str(tmp_path))[1] < 1_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
