@@ -181,7 +181,11 @@ def verbatim_spans(spark, sf_dir):
     raw = docs.withColumn("raw", F.trim("raw")).filter(F.length("raw").between(10, 300))
     quote = F.when(F.col("doc_id") % 5 == 1, F.replace("raw", F.lit(" "), F.lit("  "))).when(F.col("doc_id") % 5 == 2, F.concat("raw", F.lit(" zz9"))).otherwise(F.col("raw"))
     own = raw.withColumn("quote", quote)
-    own = own.select("doc_id", "pos", F.instr("text", F.col("quote")).alias("exact"), F.instr("plain", flat("quote")).alias("loose"), F.floor((F.length("text") - F.length(F.replace("text", F.col("quote")))) / F.length("quote")).alias("times"))
+    # A text is only searched for what is still open: behind the quote for a second one, or for the loose form where there is none.
+    own = own.withColumn("exact", F.instr("text", F.col("quote")))
+    there = F.col("exact") > 0
+    again = F.instr(F.substr("text", F.col("exact") + F.length("quote")), F.col("quote")) > 0
+    own = own.select("doc_id", "pos", "exact", F.when(there, 0).otherwise(F.instr("plain", flat("quote"))).alias("loose"), F.when(there, F.when(again, 2).otherwise(1)).otherwise(0).alias("times"))
     status = F.when(F.col("exact") > 0, "exact").when(F.col("loose") > 0, "normalised").otherwise("abstain")
     start = F.when(F.col("exact") > 0, F.col("exact") - 1).when(F.col("loose") > 0, F.col("loose") - 1).otherwise(-1)
     return own.select("doc_id", F.col("pos").cast("long").alias("pos"), status.alias("status"), start.cast("long").alias("char_start"), F.when(F.col("times") == 1, "unique").when(F.col("times") > 1, "ambiguous").otherwise("none").alias("quality"))
