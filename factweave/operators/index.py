@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from . import blocks
+from .blocks import comparable, of_width, unit
 from .graph import cut
 
 #: Most rows on which centroids are fitted, and queries on which visits are chosen.
@@ -33,11 +35,6 @@ ROWS_AT_ONCE = 2048
 QUERIES_AT_ONCE = 1024
 
 
-def unit(m: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.einsum("ij,ij->i", m, m))
-    return m / np.where(size > 0, size, 1.0)[:, None]
-
-
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     """Lists as rows of a matrix, shorter ones filled with zeros, longer ones cut to what the centroids have."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -103,13 +100,8 @@ def with_cells(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
 def plain_rows(vectors: DataFrame, id_col: str, vector_col: str, tag: str | None) -> DataFrame:
     """id, v, tag of the rows with an id and a vector whose components are all finite numbers; others can't be compared."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = vectors.select(F.col(id_col).alias("id"), v.alias("v"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
-    return own.filter("id is not null and v is not null").filter(good)
-
-
-def of_width(v: Column, width: int) -> Column:
-    return F.when(F.size(v) == width, v).otherwise(F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), 1, width))
+    return own.filter(F.col("id").isNotNull() & comparable("v"))
 
 
 def build(vectors: DataFrame, id_col: str, vector_col: str, tag: str | None = None, cells: int | None = None) -> Index:
@@ -248,20 +240,6 @@ def _angles(centroids: np.ndarray):
     return run
 
 
-def _pairs(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, asked = (batch.column(c)[i].values for c in ("ids", "asked"))
-                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, batch.column("width")[i].as_py()) for c in ("q", "r"))
-                similar = np.round(unit(a) @ unit(b).T, 6) + 0.0
-                x, y = np.nonzero((similar >= least) & (asked.to_numpy(zero_copy_only=False)[:, None] < ids.to_numpy(zero_copy_only=False)[None, :]))
-                columns = [asked.take(pa.array(x)), ids.take(pa.array(y)), pa.array(similar[x, y])]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "similarity"])
-
-    return run
-
-
 def reach_of(index: Index) -> np.ndarray:
     """The largest angle between each cell's rows and its centroid; below zero for a cell without rows. What comes to the driver is a row for each cell."""
     angles = index.rows.select("cell", "v").mapInArrow(_angles(index.centroids), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("reach"))
@@ -271,12 +249,14 @@ def reach_of(index: Index) -> np.ndarray:
     return reach
 
 
-def pairs_over(index: Index, least: float) -> DataFrame:
+def pairs_over(index: Index, least: float, flat: bool | None = None) -> DataFrame:
     """a, b, similarity of all pairs of rows, a < b, with a cosine of ``least`` (above zero) at least. Exact: no pair is lost.
 
     A row visits every cell that could have a row so near: the angle between it
     and the centroid, less the largest angle within the cell, bounds what it
-    can find there. Rows of equal vectors make a pair each; group them before.
+    can find there. Where that leaves nearly all cells, rows are dealt to large
+    lists, every two of which meet once; flat says which, by default what sends
+    fewer rows. Rows of equal vectors make a pair each; group them before.
     """
     if least <= 0:
         raise ValueError("least must be above zero")
@@ -285,14 +265,12 @@ def pairs_over(index: Index, least: float) -> DataFrame:
     reach = reach_of(index)
     kind = index.rows.schema["id"].dataType.simpleString()
     visiting = index.rows.select("id", "v", "tag").mapInArrow(_cells_within(index.centroids, reach, least), f"id {kind}, v array<double>, tag string, cells array<int>")
+    if flat is None:
+        n, visits = visiting.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
+        flat = n * max(1, n / blocks.LIST) <= 2 * visits
+    if flat:
+        return blocks.pairs_of_all(index.rows.select("id", "v"), width, least)
     visiting = cut(visiting.select("id", "v", "tag", F.explode("cells").alias("cell")))
-    blocks = packed(visiting, QUERIES_AT_ONCE, width).select("cell", F.col("ids").alias("asked"), F.col("flat").alias("q"))
-    lists = packed(index.rows, ROWS_AT_ONCE, width).select("cell", "ids", F.col("flat").alias("r"))
-    met = lists.join(blocks, "cell").select("ids", "r", "asked", "q", F.lit(width).alias("width"))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "16")
-    try:
-        return cut(met.mapInArrow(_pairs(least), f"a {kind}, b {kind}, similarity double"))
-    finally:
-        spark.conf.set(key, before)
+    asking = packed(visiting, QUERIES_AT_ONCE, width).select("cell", F.col("ids").alias("ids_y"), F.col("flat").alias("flat_y"))
+    lists = packed(index.rows, ROWS_AT_ONCE, width).select("cell", "ids", "flat")
+    return lists.join(asking, "cell").mapInArrow(blocks.near_pairs(width, least, once=False), f"a {kind}, b {kind}, similarity double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import density, linkage, louvain
 from ..operators import index as I
 from ..operators import vectors as V
@@ -92,24 +93,21 @@ def multi_signal_pairs(spark, sf_dir):
     """Pairs of claims whose weighted signals reach 0.55: cosine (0.30), a shared part (0.25), the same priority (0.15), cluster (0.20), the same customer (0.10).
 
     A claim's vector and its order have one id. All signals but the cosine are
-    known from keys, and without a shared part they come to 0.45 at most, so
-    such a pair needs a cosine of a third, which the index's exact join finds;
-    pairs with a shared part meet by that part. No members of a cluster, a
-    priority or a customer are paired as such.
+    known from keys, and the cosine gives 0.30 at most, so a pair has a part in
+    common or two of the other keys. Pairs meet by these only, as lists of a key's
+    rows, and only those that may reach 0.55 leave the task.
     """
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("facet"), F.col("o_custkey").alias("node"))
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    claims = cut(rows.join(orders, "id", "left"))
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part")).distinct().join(claims.select("id"), "id", "left_semi")
-    sharing = lines.select(F.col("id").alias("a"), "part").join(lines.select(F.col("id").alias("b"), "part"), "part").filter("a < b").select("a", "b").distinct()
-    near = I.pairs_over(I.build(claims, "id", "v"), 0.333333)
-    pairs = sharing.withColumn("shared", F.lit(0.25)).join(near, ["a", "b"], "full")
-    side = lambda c: claims.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("label", "facet", "node", "v")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    same = lambda c, w: F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), w).otherwise(0.0)
-    cosine = F.coalesce("similarity", F.round(V.cosine(F.col("v_a"), F.col("v_b")), 6))
-    score = F.round(0.30 * cosine + F.coalesce("shared", F.lit(0.0)) + same("facet", 0.15) + same("label", 0.20) + same("node", 0.10), 6)
-    return both.select("a", "b", score.alias("score")).filter("score >= 0.55")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label"), F.col("embedding").alias("v"))
+    claims = cut(rows.filter(B.comparable("v")).join(orders, "id", "left"))
+    parts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part")).filter("part is not null")
+    parts = parts.join(claims.select("id"), "id", "left_semi").distinct().join(claims, "id")
+    two = lambda *c: F.when(F.concat(*[F.col(x).cast("string") for x in c]).isNotNull(), F.concat_ws("\x1f", F.lit("-".join(c)), *c))
+    keyed = claims.select("*", F.explode(F.array(two("label", "facet"), two("label", "node"), two("facet", "node"))).alias("key")).filter("key is not null")
+    keyed = keyed.withColumn("base", F.lit(0.0)).unionByName(parts.select("*", F.concat_ws("\x1f", F.lit("part"), "part").alias("key"), F.lit(0.25).alias("base")).drop("part"))
+    near = B.signal_pairs(keyed, {"facet": 0.15, "label": 0.20, "node": 0.10}, 0.30, 0.55)
+    score = F.round(0.30 * F.col("similarity") + F.col("base") + F.col("facet") + F.col("label") + F.col("node"), 6)
+    return near.groupBy("a", "b").agg(F.max(score).alias("score")).filter("score >= 0.55")
 
 
 @query("balanced_rerank", [116], """WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label AS side, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
