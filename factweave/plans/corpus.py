@@ -26,11 +26,12 @@ d AS (SELECT token, ln((SELECT count(*) FROM documents) / count(*)::DOUBLE) AS i
 SELECT doc_id, token, round(tf * idf, 6) AS tfidf FROM c JOIN d USING (token)
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 6) DESC, token) <= 5""")
 def tfidf_salience(spark, sf_dir):
-    """The five most salient tokens of each document."""
-    counts = lexical.term_counts(tokens(spark, sf_dir))
-    n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    """The five most salient tokens of each document: tokens are counted in their document's row, and travel once to their weight and once back."""
+    docs = read(spark, sf_dir, "documents")
+    counts = lexical.counts_of_lists(docs.select("doc_id", T.tokens(F.col("text")).alias("w")), "doc_id", "w").drop("length")
+    n = docs.agg(F.count("*").alias("n"))
     idf = lexical.document_frequency(counts).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n") / F.col("df")).alias("idf"))
-    scored = counts.join(idf, "token").withColumn("tfidf", F.round(F.col("tf") * F.col("idf"), 6))
+    scored = counts.join(idf, "token").select("doc_id", "token", F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("tfidf"), "token")
     return scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("doc_id", "token", "tfidf")
 
