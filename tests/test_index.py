@@ -105,6 +105,23 @@ def test_complete_linkage_as_plain(spark):
     assert len(members) > 5 and all(similar[x, y] >= 0.55 for m in members.values() for x in m for y in m if x < y)
 
 
+def test_complete_linkage_by_levels_as_plain(spark, monkeypatch):
+    rows = clustered(n=120)[:123]
+    own, similar = good(rows)
+    table = spark.createDataFrame(rows, "id long, embedding array<double>, tag string").repartition(3)
+    seen, whole = [], linkage.complete_linkage
+
+    def counted(links, *rest):
+        seen.append(links.count())
+        return whole(links, *rest)
+
+    monkeypatch.setattr(linkage, "complete_linkage", counted)
+    got = {r.id: r.cluster for r in linkage.linkage_clusters(table, "id", "embedding", 0.3, links=2, few=40, size=16, group=2).collect()}
+    assert got == plain_linkage([i for i, _, _ in own], similar, 0.3)
+    # The rows themselves have far more links than any level takes.
+    assert len(seen) > 2 and 4 * max(seen) < (np.triu(similar, 1) >= 0.3).sum()
+
+
 def test_nothing_in_nothing_out(spark, table):
     none = table.limit(0)
     assert linkage.linkage_clusters(none, "id", "embedding", 0.5).count() == 0
