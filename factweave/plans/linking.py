@@ -127,9 +127,13 @@ def session_concepts(spark, sf_dir):
 @query("multi_mention_scores", [352], f"""WITH {STATEMENTS_SQL}, m AS (SELECT subject, order_id, CASE WHEN authority = 'HIGH' THEN 1.0 WHEN authority = 'MEDIUM' THEN 0.6 ELSE 0.3 END * (1 - hedge) AS like_core, CASE WHEN line > 4 THEN 0.8 ELSE 0.2 END AS like_rival FROM statements)
 SELECT subject, count(*)::BIGINT AS mentions, round(avg(like_core), 6)::DOUBLE AS core, round(avg(like_rival), 6)::DOUBLE AS rival, CASE WHEN avg(like_core) > avg(like_rival) + 0.1 THEN 'PRIMARY' WHEN avg(like_rival) > avg(like_core) + 0.1 THEN 'COMPETITOR' ELSE 'SECONDARY' END AS role FROM m GROUP BY subject""")
 def multi_mention_scores(spark, sf_dir):
-    """A concept's role from all its mentions: each is compared with the roles' prototypes, and the means decide."""
+    """A concept's role from all its mentions: each is compared with the roles' prototypes, and the means decide.
+
+    As in the SQL, rival prototypes are decimals, whose mean is exact, and a mean is rounded as a double, after its product with 10^6.
+    """
     weight = F.when(F.col("authority") == "HIGH", 1.0).when(F.col("authority") == "MEDIUM", 0.6).otherwise(0.3)
-    own = statements(spark, sf_dir).select("subject", (weight * (1 - F.col("hedge"))).alias("a"), F.when(F.col("line") > 4, 0.8).otherwise(0.2).alias("b"))
-    means = own.groupBy("subject").agg(F.count("*").alias("mentions"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+    own = statements(spark, sf_dir).select("subject", (weight * (1 - F.col("hedge"))).alias("a"), F.when(F.col("line") > 4, 8).otherwise(2).alias("tenths"))
+    means = own.groupBy("subject").agg(F.count("*").alias("mentions"), F.avg("a").alias("a"), (F.sum("tenths") / (10 * F.count("*"))).alias("b"))
     role = F.when(F.col("a") > F.col("b") + 0.1, "PRIMARY").when(F.col("b") > F.col("a") + 0.1, "COMPETITOR").otherwise("SECONDARY")
-    return means.select("subject", "mentions", F.round("a", 6).alias("core"), F.round("b", 6).alias("rival"), role.alias("role"))
+    rounded = lambda c: F.round(F.col(c) * 1e6) / 1e6
+    return means.select("subject", "mentions", rounded("a").alias("core"), rounded("b").alias("rival"), role.alias("role"))
