@@ -48,10 +48,8 @@ def linkage_clusters(spark, sf_dir):
 
 
 def neighbour_graph(spark, sf_dir, k=8, least=0.1):
-    """src, dst, weight: each row's k nearest others with a similarity of ``least`` at least, through the index."""
-    index = I.build(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    index = I.choose_visits(index, index.rows.select("id", "v", "tag"), k, 0.95)
-    found = I.search(index, index.rows.select("id", "v", "tag"), k, index.visits, least=least)
+    """src, dst, weight: each row's k nearest others with a similarity of ``least`` at least."""
+    found = B.neighbours(I.plain_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", None).select("id", "v"), k, least)
     return found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("similarity").alias("weight"))
 
 
@@ -63,15 +61,14 @@ def louvain_communities(spark, sf_dir):
 
 def density_members(rows, k, core, least, merge, attach):
     """id, cluster, attached of all rows (id, embedding): density clusters on the graph of neighbours, like centroids merged, near noise attached."""
-    index = I.build(rows, "id", "embedding")
-    every = index.rows.select("id", "v", "tag")
-    index = I.choose_visits(index, every, k, 0.95)
-    near = I.search(index, every, k, index.visits).select("query_id", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), "rank")
+    plain = I.plain_rows(rows, "id", "embedding", None).select("id", "v")
+    every = cut(plain.withColumn("v", B.of_width(F.col("v"), B.width_of(plain))))  # shorter vectors count as ending in zeros
+    near = B.neighbours(every, k).select("query_id", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), "rank")
     found = cut(density.density_clusters(density.mutual_reachability(cut(near), core), least))
-    members = lambda of: index.rows.select("id", "v").join(of.filter("cluster is not null").withColumnRenamed("node", "id"), "id")
+    members = lambda of: every.join(of.filter("cluster is not null").withColumnRenamed("node", "id"), "id")
     joined = cut(density.merge_alike(found, cut(density.centroids_of(members(found))), merge))
     centres = cut(density.centroids_of(members(joined)))
-    return density.attach_noise(index.rows.select("id", "v"), joined, centres, attach)
+    return density.attach_noise(every, joined, centres, attach)
 
 
 @query("density_facets", [269])
